@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import leakage, tokenize
+from lintlake.llm import leakage, secrets, syntax, tokenize
 from lintlake.llm.env import table
 
 QUERIES: dict = {}
@@ -50,3 +50,28 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p7_runs(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run_words").alias("longest_run"))
     items = table(spark, sf_dir, "eval_items", "item_id", "suite")
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_checked(spark, sf_dir).where("NOT valid").select("file_id").distinct()
+
+
+@query
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "review_files", "id", "relative_path", "source_text"))
+
+
+@query
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(p2_checked(spark, sf_dir))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "review_files", "id", "source_text"))
+
+
+@query
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact(table(spark, sf_dir, "review_files", "id", "source_text"))
