@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are handled at a time.
 BLOCK_BYTES = 2_000_000
+#: Rows that are handled at a time.
+BLOCK_ROWS = 50_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -62,7 +64,7 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     start, total = 0, 0
     for i, s in enumerate(sizes):
-        if i > start and total + s > limit:
+        if i > start and (total + s > limit or i - start >= BLOCK_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(s)

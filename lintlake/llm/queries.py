@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import leakage, secrets, syntax, tokenize
+from lintlake.llm import leakage, neardup, secrets, syntax, tokenize
 from lintlake.llm.env import table
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(table(spark, sf_dir, "review_files", "id", "source_text"))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(*neardup.similar(table(spark, sf_dir, "review_files", "id", "source_text")))
+
+
+@query
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(*neardup.similar(table(spark, sf_dir, "review_files", "id", "source_text")))

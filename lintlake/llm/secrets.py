@@ -32,7 +32,7 @@ url uri prompt hint label expiry ttl timeout type header field index idx id patt
 stage slot page limit bits bytes error err msg message text help test kind mode state enum""".split()
 #: Read on lower-cased text.
 _TRIGGER = re.compile(
-    r"pass(?! a\b| the\b|ed\b|ing\b|es\b)|pwd|pw\b|secret|token|tok\b|bearer|api|key\b|psk\b|auth|login|cred|://[^\s:/@\"']*:|strn?cmp|memcmp|connect|private key|akia|gh[pousr]_|sk_live|xox[bap]-|sig=|clave|kennwort|jwt|contrase|密码|口令"
+    r"pass(?! a\b| the\b|ed\b|ing\b|es\b)|pwd|pw\b|secret|token|tok\b|bearer|api|key\b|psk\b|auth|login|cred|://[^\s:/@\"']*:|strn?cmp|memcmp|connect|private key|akia|gh[pousr]_|sk_live|xox[bap]-|sig=|code=|signature=|clave|kennwort|jwt|contrase|密码|口令"
 )
 _PLACE = re.compile(
     r"""^(?:|[%$].?|%[-+#0-9.lhzjt]*[a-z]|\$\{?\w+\}?|\$\(\w+\)|%\w+%|<[^<>]*>|\[[^\[\]]*\]|\{\{?[^{}]*\}?\}|@\w+@|__\w+__|[*xX.•_\-?#]{2,}|(?:your|my|the|some|enter|insert|put|replace|set|add)[-_ ]?.*|(?:change|fill|todo|tbd|fixme)[-_ ]?.*
@@ -59,7 +59,7 @@ _SPOKEN = re.compile(r"""(?i)\b(?P<name>pass(?:word|wd|phrase|code)?|pwd|pw|secr
 _LOGIN = re.compile(r"""(?i)\b(?:login|log in|user(?:name)?|account|anmeldung|acceso|usuario)\b(?: as| with|:)?\s+["'`]?[\w.@-]+["'`]?\s*(?:/|:|,| with | and | mit | con )\s*["'`]?(?P<value>[^\s"'`,;]+)""")
 _URL = re.compile(r"""[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<user>[^\s:/@"'<>]*):(?P<value>[^\s/"'<>]*?)@(?=[\w\[%$])""")
 _PARAM = re.compile(r"""(?i)[?&;](?P<name>[\w.\-]*(?:key|sig|signature|token|secret|pass(?:word|wd)?|pwd|auth|code|apikey))=(?P<value>[^\s&"'<>#]+)""")
-_HEADER = re.compile(r"""(?i)\b(?:proxy-)?authorization["']?\s*[:=,]\s*["']?\s*(?P<kind>bearer|basic|token|digest|apikey)\s+(?P<value>[^\s"'<>\\]+)""")
+_HEADER = re.compile(r"""(?i)\b(?:proxy-)?authorization["']?\s*[:=,]\s*["']?\s*(?P<kind>bearer|basic|token|digest|apikey)\s+(?P<value>[^\s"'<>\\(),;]+)""")
 _XHEADER = re.compile(r"""(?i)\b(?P<name>X-[\w\-]*(?:key|token|secret|auth|pass(?:word)?)|api-key|x-auth)["']?\s*[:=]\s*["']?(?P<value>[^\s"'<>\\]+)""")
 _COMPARE = re.compile(rf"""\b(?:strcmp|strncmp|strcasecmp|memcmp|equals|compare_digest)\s*\(\s*(?:[^()"'\n,]+,\s*(?={_STR})|(?={_STR}\s*,))""")
 _CALL = re.compile(r"""(?i)\b\w*(?:connect|login|logon|authenticate|auth|set_?credentials|signin|sign_in|open_session|basic_auth)\w*\s*\((?P<args>[^;{}\n]*)""")
