@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import leakage, neardup, secrets, syntax, tokenize
+from lintlake.llm import leakage, neardup, secrets, syntax, tokenize, truncation
 from lintlake.llm.env import table
 
 QUERIES: dict = {}
@@ -85,3 +85,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(*neardup.similar(table(spark, sf_dir, "review_files", "id", "source_text")))
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    return table(spark, sf_dir, "review_tasks", "id", "model_node_id", "model_log"), table(spark, sf_dir, "reports", "id", "task_id", "result_json")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(*_stored(spark, sf_dir))[0].where("cut").select("record_id", "field", "finding_no")
+
+
+@query
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.judged(*_stored(spark, sf_dir))[0])
+
+
+@query
+def p4_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(*_stored(spark, sf_dir))[1]
