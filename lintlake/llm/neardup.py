@@ -2,11 +2,11 @@
 
 Two sets of a and b triples with a Jaccard similarity of at least t differ in at most D = (1-t)/(1+t)*(a+b) triples.
 
-1.  Boxes.  Ordered by frequency, the first n-ceil(t*n)+1 triples of a set are boxes of one triple each; the differences are too
-    few to touch all of them, so similar sets agree in a box (pigeonhole).  Boxes are what is shuffled; the order puts triples
+1.  Boxes.  Ordered by frequency, the first n-ceil(t*n)+c triples of a set are boxes of one triple each; the differences are too
+    few to touch more than all but c of them, so similar sets agree in c boxes (pigeonhole), c = CHAIN.  Boxes are what is shuffled; the order puts triples
     of licences and other boilerplate last, and only the count that gives the order is approximate: any order is exact.
 2.  Ring.  The triples of a set fall into M segments by hash, arranged in a ring.  Somewhere on the ring a chain of segments must
-    start whose first l segments hold at most l*D/M differences, for every l up to M.  A sketch of 64+M bytes a set bounds the
+    start whose first l segments hold at most l*D/M differences, for every l up to M.  A sketch of 128 bytes a set bounds the
     differences of each segment from below; pairs without such a chain are pruned.
 3.  What is left is checked by the full Hamming distance of the sets.
 
@@ -28,7 +28,11 @@ from lintlake.llm.env import reliable
 SIMILARITY = 0.7
 WORDS = 3
 #: Counters of the frequency sketch, and segments of the ring with the bits of each.
-COUNTERS, SEGMENTS, BITS = 1 << 20, 16, 32
+COUNTERS, SEGMENTS, BITS = 1 << 22, 16, 32
+#: Triples of a window of texts in which repeated ones are counted.
+WINDOW = 8_000_000
+#: Boxes in which two sets have to agree (all of them, if their overlap need not be so large).
+CHAIN = 3
 #: Words of 64 bits of the filter that tells which sets are needed for the check: its least and its greatest size.
 FILTER = (1 << 14, 1 << 22)
 #: Pairs that a task looks at together.
@@ -60,10 +64,24 @@ class Sets:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
+    """Counts of the triples that occur in several texts of a window; those of one text only would blur the counters."""
+    counts, held, n = np.zeros(COUNTERS, np.int64), [], 0
+
+    def close() -> None:
+        items, many = np.unique(np.concatenate(held), return_counts=True)
+        again = many > 1
+        np.add.at(counts, (items[again] & np.uint64(COUNTERS - 1)).astype(np.int64), many[again])
+        held.clear()
+
     for batch in batches:
         for b in blocks(batch, "text"):
-            counts += np.bincount((Sets(b.column("text")).items & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            held.append(Sets(b.column("text")).items)
+            n += len(held[-1])
+            if n > WINDOW:
+                close()
+                n = 0
+    if held:
+        close()
     parts = counts.astype(np.int32).reshape(64, -1)
     yield pa.record_batch({"part": pa.array(range(64), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
@@ -77,7 +95,7 @@ def _sum(t: pa.Table) -> pa.Table:
 
 
 def frequency_order(texts: DataFrame) -> np.ndarray:
-    """A class of frequency for each of COUNTERS hash values: 1 MB whatever the number of texts."""
+    """A class of frequency for each of COUNTERS hash values: 4 MB whatever the number of texts."""
     rows = texts.mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, classes binary").collect()
     parts = {r.part: np.frombuffer(r.classes, np.uint8) for r in rows}
     return np.concatenate([parts.get(i, np.zeros(COUNTERS // 64, np.uint8)) for i in range(64)])
@@ -95,7 +113,7 @@ def _boxes(order, buckets: int, t: float):
                 _, first = np.unique(s.key, return_index=True)
                 mine = np.zeros(len(s.size), bool)
                 mine[first] = True  # copies within the block count once
-                prefix = s.size - _ceil(t * s.size) + 1
+                prefix = s.size - _ceil(t * s.size) + CHAIN
                 pos = np.arange(len(s.items)) - s.start[s.doc]
                 take = (pos < prefix[s.doc]) & mine[s.doc]
                 item, doc, pos = s.items[take], s.doc[take], pos[take]
@@ -149,13 +167,14 @@ def _candidates(t: float):
             a = np.repeat(np.arange(i, j), n)
             b = a + 1 + np.arange(len(a)) - np.repeat(done[i:j] - done[i], n)
             need = _ceil(t / (1 + t) * (size[a] + size[b]))
-            ok = (1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need) & (key[a] != key[b])
+            # the r-th common box leaves room for the rest of the overlap, for each r up to CHAIN
+            ok = (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need - (CHAIN - 1)) & (key[a] != key[b])
             x, y = key[a[ok]], key[b[ok]]
             if len(x):
-                pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(need[ok], CHAIN)], axis=1))
             i = j
-        p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+        p, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if pairs else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64()), "least": pa.array(p[:, 2], pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
@@ -171,17 +190,27 @@ def _members(bits):
                 k = s.key.view(np.uint64)
                 ask = (table[(k % np.uint64(len(table))).astype(np.int64)] >> (k >> np.uint64(58))) & np.uint64(1)
                 sets = [s.items[x : x + n].tobytes() if yes else None for x, n, yes in zip(s.start.tolist(), s.size.tolist(), ask.tolist(), strict=True)]
-                has = pa.array(s.size > 0)
-                yield pa.record_batch({"id": b.column("id"), "key": pa.array(s.key), "items": pa.array(sets, pa.binary())}).filter(has)
+                drawn = [x.tobytes() if yes else None for x, yes in zip(sketches(s), ask.tolist(), strict=True)]
+                yield pa.record_batch({"id": b.column("id"), "key": pa.array(s.key), "sketch": pa.array(drawn, pa.binary()), "items": pa.array(sets, pa.binary())}).filter(pa.array(s.size > 0))
 
     return run
 
 
-def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one set: the number of items in each segment, and the parity of each of its bits."""
-    seg = (items >> np.uint64(60)).astype(np.int64) % SEGMENTS
-    bit = seg * BITS + ((items >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)
-    return np.bincount(seg, minlength=SEGMENTS), (np.bincount(bit, minlength=SEGMENTS * BITS) & 1).astype(bool)
+def sketches(s: Sets) -> np.ndarray:
+    """Of each set the number of items in each segment, and the parity of each of its bits, as bytes."""
+    n = len(s.size)
+    seg = (s.items >> np.uint64(60)).astype(np.int64) % SEGMENTS
+    bit = seg * BITS + ((s.items >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)
+    counts = np.bincount(s.doc * SEGMENTS + seg, minlength=n * SEGMENTS).astype("<u4").reshape(n, SEGMENTS)
+    odd = (np.bincount(s.doc * (SEGMENTS * BITS) + bit, minlength=n * SEGMENTS * BITS) & 1).astype(np.uint8).reshape(n, -1)
+    return np.concatenate([counts.view(np.uint8), np.packbits(odd, axis=1)], axis=1)
+
+
+def lower_bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of sketches: the least possible differences of each segment, and the sizes of both sets together."""
+    cx, cy = (np.ascontiguousarray(z[:, : 4 * SEGMENTS]).view("<u4").astype(np.int64) for z in (x, y))
+    odd = np.unpackbits(x[:, 4 * SEGMENTS :] ^ y[:, 4 * SEGMENTS :], axis=1).reshape(len(x), SEGMENTS, BITS).sum(axis=2)
+    return np.maximum(np.abs(cx - cy), odd), (cx + cy).sum(axis=1)
 
 
 def chained(low: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -196,23 +225,24 @@ def chained(low: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return out
 
 
+def _prune(t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            low, size = lower_bounds(x, y)
+            yield b.select(["a", "b"]).filter(pa.array(chained(low, np.floor((1 - t) / (1 + t) * size + 1e-9))))
+
+    return run
+
+
 def _verify(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {}
-            for c in ("items_a", "items_b"):
-                for k, raw in zip(b.column(c[-1]).to_pylist(), b.column(c).to_pylist(), strict=True):
-                    if k not in sets:
-                        x = np.frombuffer(raw, np.uint64)
-                        sets[k] = (x, *sketch(x))
-            left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
-            size = np.asarray([[len(sets[x][0]), len(sets[y][0])] for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
-            budget = np.floor((1 - t) / (1 + t) * size.sum(axis=1) + 1e-9)
-            low = np.asarray([np.maximum(np.abs(sets[x][1] - sets[y][1]), (sets[x][2] ^ sets[y][2]).reshape(SEGMENTS, BITS).sum(axis=1)) for x, y in zip(left, right, strict=True)]).reshape(-1, SEGMENTS)
-            good = chained(low, budget)
-            for i in np.flatnonzero(good):
-                good[i] = len(np.setxor1d(sets[left[i]][0], sets[right[i]][0], assume_unique=True)) <= budget[i]
-            yield b.select(["a", "b"]).filter(pa.array(good))
+            good = []
+            for x, y in zip(b.column("items_a").to_pylist(), b.column("items_b").to_pylist(), strict=True):
+                differ = len(np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(differ <= math.floor((1 - t) / (1 + t) * (len(x) + len(y)) / 8 + 1e-9))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -228,13 +258,18 @@ def similar(files: DataFrame, id_col: str = "id", text_col: str = "source_text",
     order = spark.sparkContext.broadcast(frequency_order(texts.select("text")))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     boxes = texts.select("text").mapInArrow(_boxes(order, buckets, t), "bucket int, boxes binary")
-    candidates = reliable(boxes.groupBy("bucket").applyInArrow(_candidates(t), "a long, b long").distinct())
+    met = boxes.groupBy("bucket").applyInArrow(_candidates(t), "a long, b long, least long, n long")
+    candidates = reliable(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"))
     bits = spark.sparkContext.broadcast(_needed(candidates))
-    members = reliable(texts.mapInArrow(_members(bits), "id string, key long, items binary"))
-    sets = members.where("items IS NOT NULL").dropDuplicates(["key"])
-    one = candidates.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
-    two = one.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b")
-    links = two.select("a", "b", "items_a", "items_b").mapInArrow(_verify(t), "a long, b long")
+    members = reliable(texts.mapInArrow(_members(bits), "id string, key long, sketch binary, items binary"))
+    sets = members.where("items IS NOT NULL")
+
+    def of(column: str, side: str) -> DataFrame:
+        return sets.groupBy(F.col("key").alias(side)).agg(F.first(column).alias(f"{column}_{side}"))
+
+    drawn = candidates.join(of("sketch", "a"), "a").join(of("sketch", "b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    near = drawn.mapInArrow(_prune(t), "a long, b long")
+    links = near.join(of("items", "a"), "a").join(of("items", "b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify(t), "a long, b long")
     return members.select("id", "key").distinct(), links
 
 
