@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import leakage, neardup, secrets, syntax, tokenize, truncation
+from lintlake.llm import answers, leakage, neardup, secrets, syntax, tokenize, truncation
 from lintlake.llm.env import table
 
 QUERIES: dict = {}
@@ -104,3 +104,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.judged(*_stored(spark, sf_dir))[1]
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_attempts(spark, sf_dir).where("defect IS NOT NULL")
+
+
+@query
+def p3_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, reports = table(spark, sf_dir, "review_tasks", "id", "model_log"), table(spark, sf_dir, "reports", "task_id", "summary", "result_json")
+    return answers.broken(tasks, reports)
