@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import answers, leakage, neardup, secrets, syntax, tokenize, truncation
+from lintlake.llm import answers, leakage, neardup, offensive, secrets, syntax, tokenize, truncation
 from lintlake.llm.env import table
 
 QUERIES: dict = {}
@@ -115,3 +115,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks, reports = table(spark, sf_dir, "review_tasks", "id", "model_log"), table(spark, sf_dir, "reports", "task_id", "summary", "result_json")
     return answers.broken(tasks, reports)
+
+
+@query
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offensive.score(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "doc_labels", "doc_id", "is_abusive"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= offensive.THRESHOLD).select("doc_id").distinct()
+
+
+@query
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offensive.rates(p8_scores(spark, sf_dir))
