@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Marks that are left behind where a text was cut.
-MARK = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|[\[(<]\s*(?:truncated|cut|snip(?:ped)?|abgeschnitten|truncado|截断)\b[^\])>]*[\])>])\s*$", re.I)
+MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|[\[(<]\s*(?:truncated|cut|snip(?:ped)?|abgeschnitten|truncado|截断)\b[^\])>]*[\])>]))+\s*$", re.I)
 _STOP = ".!?。！？"
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _CODE = re.compile(r"`([^`\n]*)`")
@@ -73,10 +73,16 @@ def plain(text: str) -> str | None:
     return None
 
 
-def _keys(tokens: list[str]) -> list[str]:
-    """The beginning as a whole, and its last three, two and one words."""
+def _key(level: int, *parts: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{level}|" + " ".join(parts)) - (1 << 63)
+
+
+def _keys(tokens: list[str]) -> list[int]:
+    """The sentence as a whole, and its last three, two and one words."""
     pad = ["^", "^", *tokens]
-    return ["4|" + " ".join(tokens), *(f"{k}|" + " ".join(pad[-k:]) for k in (3, 2, 1))]
+    return [_key(4, *tokens), *(_key(k, *pad[-k:]) for k in (3, 2, 1))]
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,53 +108,89 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class _Steps:
+    """Counts of runs of words in the sentences of a task; beginnings of words are worked out once for each different run."""
+
+    def __init__(self):
+        self.whole: Counter = Counter()
+        self.runs: Counter = Counter()
+        self.stops: Counter = Counter()
+        self.ends: Counter = Counter()
+
+    def add(self, ws: list[str], closed: str, n: int) -> None:
+        if closed != "end":
+            self.whole[_key(4, *ws)] += n
+        pad = ["^", "^", *ws]
+        for run in zip(pad, pad[1:], pad[2:], strict=False):
+            self.runs[run] += n
+        (self.ends if closed == "end" else self.stops)[run] += n
+
+    def out(self) -> pa.RecordBatch:
+        total: dict[int, list[int]] = {k: [0, n, 0] for k, n in self.whole.items()}
+        runs, stops, ends = self.runs, self.stops, self.ends
+        for level in (3, 2, 1):
+            for run, n in runs.items():
+                s, e = stops[run], ends[run]
+                x = total.setdefault(_key(level, *run), [0, 0, 0])
+                x[0] += n - s - e
+                x[1] += s
+                x[2] += e
+                w = run[-1]
+                if n > e:  # the last word of an open value may be cut itself
+                    for j in range(1, len(w)):
+                        total.setdefault(_key(level, *run[:-1], w[:j]), [0, 0, 0])[0] += n - e
+            runs, stops, ends = (_shorter(c) for c in (runs, stops, ends))
+        keys = list(total)
+        goes, stopped, ended = zip(*total.values(), strict=True) if total else ((), (), ())
+        return pa.record_batch({"key": pa.array(keys, pa.int64()), "goes": pa.array(goes, pa.int64()), "stops": pa.array(stopped, pa.int64()), "ends": pa.array(ended, pa.int64())})
+
+
+def _shorter(runs: Counter) -> Counter:
+    out: Counter = Counter()
+    for run, n in runs.items():
+        out[run[1:]] += n
+    return out
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = _Steps()
     for b in batches:
-        goes, stops, ends = Counter(), Counter(), Counter()
         for s, closed, n in zip(b.column("sentence").to_pylist(), b.column("closed").to_pylist(), b.column("n").to_pylist(), strict=True):
-            ws = words(s)
-            for i, w in enumerate(ws):
-                begun = ws[: i + 1]
-                if i < len(ws) - 1:
-                    for k in _keys(begun):
-                        goes[k] += n
-                if len(w) > 1 and (i < len(ws) - 1 or closed != "end"):  # the last word of an open value may be cut itself
-                    for j in range(1, len(w)):
-                        for k in _keys([*ws[:i], w[:j]]):
-                            goes[k] += n
-            if ws:
-                for k in _keys(ws):
-                    (ends if closed == "end" else stops)[k] += n
-        keys = list(goes | stops | ends)
-        yield pa.record_batch({"key": pa.array(keys, pa.string()), "goes": pa.array([goes[k] for k in keys], pa.int64()), "stops": pa.array([stops[k] for k in keys], pa.int64()), "ends": pa.array([ends[k] for k in keys], pa.int64())})
+            if ws := words(s):
+                held.add(ws, closed, n)
+        if len(held.runs) > HELD or len(held.whole) > HELD:
+            yield held.out()
+            held = _Steps()
+    yield held.out()
 
 
 def learn(texts: DataFrame) -> DataFrame:
     """(key, goes, stops, ends) from all values of the column `text`: what follows each beginning, anywhere in the corpus."""
     counted = texts.where("text IS NOT NULL").select("text").mapInArrow(_sentences, "sentence string, closed string, n long")
     once = counted.groupBy("sentence", "closed").agg(F.sum("n").alias("n"))
-    steps = once.mapInArrow(_steps, "key string, goes long, stops long, ends long")
+    steps = once.mapInArrow(_steps, "key long, goes long, stops long, ends long")
     return steps.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("goes", "stops", "ends")])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, level, keys = [], [], []
+        rows, level, keys, word = [], [], [], []
         for k, text in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), strict=True):
             ws = words(form(last_sentence(MARK.sub("", text.rstrip()))))
             for n, key in zip((4, 3, 2, 1), _keys(ws), strict=True):
                 rows.append(k)
                 level.append(n)
                 keys.append(key)
-        yield pa.record_batch({"ref": pa.array(rows, pa.string()), "level": pa.array(level, pa.int32()), "key": pa.array(keys, pa.string())})
+                word.append(bool(ws) and ws[-1].isalpha() and ws[-1] not in "ⓆⓃⓀ")
+        yield pa.record_batch({"ref": pa.array(rows, pa.string()), "level": pa.array(level, pa.int32()), "key": pa.array(keys, pa.int64()), "word": pa.array(word, pa.bool_())})
 
 
 def judge(values: DataFrame, model: DataFrame) -> DataFrame:
     """(ref, goes, stops, ends, level, never) for values(ref, text): the counts of the longest beginning that says something."""
-    asked = values.select(F.col("ref").cast("string").alias("ref"), "text").mapInArrow(_asked, "ref string, level int, key string")
-    known = asked.join(model, "key").withColumn("ends", F.col("ends") - 1)
-    said = known.where("goes + stops + greatest(ends, 0) >= 1")
-    never = (F.col("level") == 1) & (F.col("goes") >= NEVER[0]) & (F.col("goes") > NEVER[1] * (F.col("stops") + F.greatest("ends", F.lit(0)))) & ~F.col("key").rlike("^1.(Ⓠ|Ⓝ|Ⓚ|[^a-z一-鿿À-ɏ]*)$")
+    asked = values.select(F.col("ref").cast("string").alias("ref"), "text").mapInArrow(_asked, "ref string, level int, key long, word boolean")
+    known = asked.join(model, "key").withColumn("ends", F.greatest(F.col("ends") - 1, F.lit(0)))
+    said = known.where("goes + stops + ends >= 1")
+    never = (F.col("level") == 1) & F.col("word") & (F.col("goes") >= NEVER[0]) & (F.col("goes") > NEVER[1] * (F.col("stops") + F.col("ends")))
     best = said.groupBy("ref").agg(F.max_by(F.struct("goes", "stops", "ends", "level"), "level").alias("x"), F.max(never).alias("never"))
     return best.select("ref", "x.*", "never")
 
