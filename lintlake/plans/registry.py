@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query(spark, sf_dir) under its name, with SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def latest_sql(table: str) -> str:
+    return f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
+
+
+def stamp(column: str):
+    """A timestamp as text, the same in both engines."""
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
+def stamp_sql(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
