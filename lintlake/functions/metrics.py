@@ -24,7 +24,8 @@ def rates(samples: DataFrame, group: str, time: str, counter: str) -> DataFrame:
     """Adds `rate`: the growth of the counter a second since the sample before, never negative."""
     w = Window.partitionBy(group).orderBy(time)
     seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
-    return samples.withColumn("rate", F.greatest(F.lit(0.0), F.round((F.col(counter) - F.lag(counter).over(w)) / F.greatest(seconds, F.lit(0.001)), 2)))
+    grown = F.round((F.col(counter) - F.lag(counter).over(w)) / F.greatest(seconds, F.lit(0.001)), 2)
+    return samples.withColumn("rate", F.when(grown.isNotNull(), F.greatest(F.lit(0.0), grown)))  # the first sample has none
 
 
 def peaks(samples: DataFrame, group: str, time: str, value: str, minutes: int = 30) -> DataFrame:
