@@ -124,6 +124,8 @@ def plausible(value: str, least: int, sure: bool) -> bool:
         return False
     if re.fullmatch(r"(?:[A-Z]+_)+[A-Z]+\d?|/[\w./-]+|[\w-]+(?:\.[\w-]+)*\.(?:invalid|com|org|net|local|example)(?:[:/].*)?", v):
         return False  # the name of a variable, a path, a host
+    if re.match(r"[A-Za-z_][\w.>-]*[\[(]", v):
+        return False  # an expression
     if not sure and (_UUID.match(v) or re.fullmatch(r"[A-Za-z_]+", v)):
         return False
     return residual(v) >= least and _classes(v) >= 2
@@ -261,7 +263,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
             head, v = text[a : m.start()], m["value"].rstrip(",;")
             if head.count('"') % 2 or head.count("'") % 2 or head.strip() and not re.search(r"(?:^|\s)(?:#|//|/\*|\*|;|--|export|set|env)\s*(?:\w+\s+)?$", head, re.I):
                 continue
-            if not re.search(r"[()]", v) and plausible(v, NEAR, True):
+            if not re.search(r"[()]", v) and (head.strip() or not m["value"].endswith(";")) and plausible(v, NEAR, True):
                 f.add(m.start("value"), m.start("value") + len(v))
     for m in _SPOKEN.finditer(text, a, b):
         v = m["value"].rstrip(".)")
