@@ -33,6 +33,10 @@ COUNTERS, SEGMENTS, BITS = 1 << 22, 16, 32
 WINDOW = 8_000_000
 #: Boxes in which two sets have to agree (all of them, if their overlap need not be so large).
 CHAIN = 3
+#: Sets that may share a box in one place; a box that more sets are expected to share is split into blocks that meet in pairs.
+HOT = 200_000
+#: Members of a class that are joined at a time when the pairs are written out.
+PART = 2_000
 #: Words of 64 bits of the filter that tells which sets are needed for the check: its least and its greatest size.
 FILTER = (1 << 14, 1 << 22)
 #: Pairs that a task looks at together.
@@ -116,7 +120,7 @@ def _boxes(order, buckets: int, t: float):
                 prefix = s.size - _ceil(t * s.size) + CHAIN
                 pos = np.arange(len(s.items)) - s.start[s.doc]
                 take = (pos < prefix[s.doc]) & mine[s.doc]
-                item, doc, pos = s.items[take], s.doc[take], pos[take]
+                item, doc, pos = _split(s.items[take], s.doc[take], pos[take], s.key, order.value)
                 bucket = (item >> np.uint64(40)) % np.uint64(buckets)
                 at = np.argsort(bucket, kind="stable")
                 item, doc, pos, bucket = item[at], doc[at], pos[at], bucket[at]
@@ -131,6 +135,22 @@ def _boxes(order, buckets: int, t: float):
     return run
 
 
+def _split(item: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes that very many sets share, once for each block that their set's block has to meet."""
+    expected = np.exp2(order[(item & np.uint64(COUNTERS - 1)).astype(np.int64)] / 8.0)
+    hot = np.flatnonzero(expected > HOT)
+    if not len(hot):
+        return item, doc, pos
+    n = np.ceil(expected[hot] / HOT).astype(np.int64)
+    own = (mix(key[doc[hot]].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(hot, n)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    own = np.repeat(own, n)
+    met = mix(item[at] + (np.minimum(own, other) * 65_536 + np.maximum(own, other) + 1).astype(np.uint64))
+    cold = np.flatnonzero(expected <= HOT)
+    return np.concatenate([item[cold], met]), np.concatenate([doc[cold], doc[at]]), np.concatenate([pos[cold], pos[at]])
+
+
 def _candidates(t: float):
     def run(table: pa.Table) -> pa.Table:
         raw = [np.frombuffer(x, np.uint8).reshape(21, -1) for x in table.column("boxes").to_pylist()]
@@ -287,11 +307,18 @@ def _needed(candidates: DataFrame) -> np.ndarray:
     return out
 
 
-def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of similar texts, copies included."""
-    left, right = members.select(F.col("id").alias("x"), F.col("key").alias("a")), members.select(F.col("id").alias("y"), F.col("key").alias("b"))
-    several = members.groupBy("key").count().where("count > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
-    found = links.unionAll(several).join(left, "a").join(right, "b").where("x <> y AND (a <> b OR x < y)")
+def pairs(members: DataFrame, links: DataFrame, part: int = PART) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every pair of similar texts, copies included.
+
+    The members of a large class are cut into parts, so that no task joins a whole class with another.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    several = sizes.where("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
+    large = sizes.where(F.col("n") > part).select(F.col("key").alias("b"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    whole = F.coalesce("parts", F.lit(1))
+    right = members.select(F.col("id").alias("y"), F.col("key").alias("b")).join(large, "b", "left").select("y", "b", F.pmod(F.xxhash64("y"), whole).cast("int").alias("part"))
+    left = links.unionAll(several).join(members.select(F.col("id").alias("x"), F.col("key").alias("a")), "a").join(large, "b", "left")
+    found = left.select("x", "a", "b", F.explode(F.sequence(F.lit(0), whole - 1)).alias("part")).join(right, ["b", "part"]).where("x <> y AND (a <> b OR x < y)")
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -40,7 +40,7 @@ def _brute(rows, t=0.7):
     return out
 
 
-def test_neardup_is_exact(spark):
+def test_neardup_is_exact(spark, monkeypatch):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
     rows = []
@@ -55,10 +55,29 @@ def test_neardup_is_exact(spark):
     members, links = neardup.similar(_files(spark, rows))
     got = {tuple(r) for r in neardup.pairs(members, links).collect()}
     assert got == _brute(rows)
+    assert {tuple(r) for r in neardup.pairs(members, links, part=1).collect()} == got
+    monkeypatch.setattr(neardup, "HOT", 2)
+    assert {tuple(r) for r in neardup.pairs(*neardup.similar(_files(spark, rows))).collect()} == got
     classes = {r.file_id: r for r in neardup.classes(members, links).collect()}
     assert classes["dup"].class_key == classes["00-0"].class_key and classes["dup"].copies >= 2 and "short" not in classes
 
 
+def test_hot_boxes_are_split():
+    rng = np.random.default_rng(2)
+    item = rng.integers(0, 1 << 62, 50, dtype=np.int64).astype(np.uint64)
+    item[:20] = item[0]
+    order = np.zeros(neardup.COUNTERS, np.uint8)
+    order[int(item[0] & np.uint64(neardup.COUNTERS - 1))] = 8 * 20  # about a million sets
+    key = rng.integers(0, 1 << 62, 50, dtype=np.int64)
+    got, doc, _ = neardup._split(item, np.arange(50), np.arange(50), key, order)
+    by = {}
+    for g, d in zip(got.tolist(), doc.tolist(), strict=True):
+        by.setdefault(g, set()).add(d)
+    for a, b in itertools.combinations(range(20), 2):
+        assert any({a, b} <= s for s in by.values())
+    assert max(len(s) for s in by.values()) < 20 and {d for s in by.values() for d in s} == set(range(50))
+
+
 def test_neardup_empty_and_long(spark):
     members, links = neardup.similar(_files(spark, [("a", "a.c", None)]))
     assert neardup.pairs(members, links).count() == 0
