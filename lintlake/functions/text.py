@@ -205,3 +205,34 @@ def decode(content: Column) -> Column:
     """Valid UTF-8 without a mark stays in the JVM; only the rest goes through Python."""
     plain = F.is_valid_utf8(content.cast("string")) & ~F.hex(F.substring(content, 1, 3)).rlike("^(EFBBBF|FFFE|FEFF|0000FE)")
     return F.when(plain, content.cast("string")).otherwise(F.pandas_udf(_decode, "string")(F.when(~plain, content)))
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML or XML."""
+    out = text
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def readable_bytes(size: Column) -> Column:
+    """B below a kibibyte, then KB and MB with one place."""
+    kb, mb = F.format_string("%.1f KB", size / 1024.0), F.format_string("%.1f MB", size / 1048576.0)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, kb).otherwise(mb)
+
+
+def readable_duration(ms: Column) -> Column:
+    return F.when(ms.isNull(), "--").otherwise(F.concat(F.floor(ms / 1000).cast("string"), F.lit("."), F.floor(ms % 1000 / 100).cast("string"), F.lit(" s")))
+
+
+def kinds_text(kinds: Column, labels: dict[str, str], head: str) -> Column:
+    """A heading and one line for each kind, by its label."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.concat(F.lit(head), F.array_join(F.transform(F.array_distinct(kinds), lambda k: F.concat(F.lit("\n- "), F.coalesce(F.try_element_at(names, k), k))), ""))
+
+
+def attempts(log: Column) -> Column:
+    """The ends of the attempts in a log, as an array of (number, outcome, reason)."""
+    entries = F.filter(F.split(log, r"\n\n(?=\[\d{4}-)"), lambda e: e.rlike(r"^\[[^\]]*\] Attempt \d+ (succeeded|failed)"))
+    part = lambda e, k: F.regexp_extract(e, r"^\[[^\]]*\] Attempt (\d+) (succeeded|failed)(?:: ([^\n]*))?", k)
+    return F.transform(entries, lambda e: F.struct(part(e, 1).cast("int").alias("number"), part(e, 2).alias("outcome"), part(e, 3).alias("reason")))

@@ -9,6 +9,7 @@ from lintlake.operators import state
 from lintlake.plans.registry import latest_sql as L, query
 from lintlake.schemas import latest, table
 from lintlake.sources import catalog
+from lintlake.streaming import peaks
 
 _TOTALS = "SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events"
 
@@ -124,3 +125,72 @@ def task_rollup(spark, d):
     t = latest(table(spark, d, "review_tasks"), "owner_id", "status", "model_node_id", "duration_ms")
     t.createOrReplaceTempView("lintlake_tasks")
     return spark.sql("SELECT owner_id, status, count(*) AS tasks, count(DISTINCT model_node_id) AS nodes, round(avg(duration_ms), 2) AS mean_ms, max(duration_ms) AS longest_ms FROM lintlake_tasks GROUP BY GROUPING SETS ((owner_id, status), (status), ())")
+
+
+_ENDS = f"(SELECT id, unnest(regexp_extract_all(model_log, '\\] Attempt \\d+ (?:succeeded|failed: [^\\n]*)')) AS e FROM {L('review_tasks')})"
+
+
+@query(f"""SELECT CASE WHEN contains(e, 'succeeded') THEN 'succeeded' ELSE 'failed' END AS outcome, regexp_replace(regexp_extract(e, 'failed: (.*)', 1), '\\d+', 'N', 'g') AS reason, count(*) AS attempts, count(DISTINCT id) AS tasks FROM {_ENDS} GROUP BY 1, 2""")
+def attempt_outcomes(spark, d):
+    t = latest(table(spark, d, "review_tasks"), "model_log").select("id", F.explode(text.attempts(F.col("model_log"))).alias("a"))
+    return t.groupBy("a.outcome", F.regexp_replace("a.reason", r"\d+", "N").alias("reason")).agg(F.count("*").alias("attempts"), F.countDistinct("id").alias("tasks"))
+
+
+@query(f"""SELECT id, status, max(n)::INT AS attempts FROM (SELECT t.id, t.status, regexp_extract(x.e, 'Attempt (\\d+)', 1)::INT AS n FROM {L("review_tasks")} t JOIN {_ENDS} x ON x.id = t.id) GROUP BY 1, 2""")
+def attempts_per_task(spark, d):
+    t = latest(table(spark, d, "review_tasks"), "model_log", "status").withColumn("a", text.attempts(F.col("model_log"))).where(F.size("a") > 0)
+    return t.select("id", "status", F.array_max(F.transform("a", lambda x: x.number)).alias("attempts"))
+
+
+@query(f"""SELECT id, row_number() OVER (PARTITION BY owner_id ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END, CASE WHEN status = 'queued' THEN -queue_priority END NULLS LAST,
+CASE WHEN status = 'queued' THEN created_at END NULLS LAST, created_at DESC, id DESC)::INT AS place FROM {L("review_tasks")}""")
+def workspace_order(spark, d):
+    t = latest(table(spark, d, "review_tasks"), "owner_id", "status", "queue_priority", "created_at")
+    queued = F.col("status") == "queued"
+    state_rank = F.when(F.col("status") == "running", 0).when(queued, 1).otherwise(2)
+    w = Window.partitionBy("owner_id").orderBy(state_rank, F.when(queued, -F.col("queue_priority")).asc_nulls_last(), F.when(queued, F.col("created_at")).asc_nulls_last(), F.col("created_at").desc(), F.col("id").desc())
+    return t.select("id", F.row_number().over(w).alias("place"))
+
+
+@query(f"""SELECT id, f.title AS title, replace(replace(replace(replace(replace(f.title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS shown FROM (SELECT id, unnest(result_json.findings) AS f FROM {L("reports")})""")
+def escaped_titles(spark, d):
+    f = latest(table(spark, d, "reports"), "result_json").select("id", F.explode("result_json.findings").alias("f"))
+    return f.select("id", "f.title", text.escaped(F.col("f.title")).alias("shown"))
+
+
+@query(f"""SELECT id, CASE WHEN duration_ms IS NULL THEN '--' ELSE (duration_ms // 1000) || '.' || (duration_ms % 1000 // 100) || ' s' END AS duration FROM {L("review_tasks")}""")
+def formatted_durations(spark, d):
+    return latest(table(spark, d, "review_tasks"), "duration_ms").select("id", text.readable_duration(F.col("duration_ms")).alias("duration"))
+
+
+@query(f"""SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE 'large' END AS size FROM {L("review_files")}""")
+def formatted_sizes(spark, d):
+    f = latest(table(spark, d, "review_files"), "size_bytes").select("id", text.readable_bytes(F.col("size_bytes")).alias("size"))
+    return f.select("id", F.when(F.col("size").endswith(" B"), F.col("size")).otherwise("large").alias("size"))
+
+
+@query(f"""SELECT id, 'Check these:' || array_to_string([chr(10) || '- ' || CASE x WHEN 'logic' THEN 'logic errors' ELSE x END FOR x IN check_types], '') AS prompt FROM {L("review_tasks")} WHERE len(list_distinct(check_types)) = len(check_types)""")
+def check_type_prompts(spark, d):
+    t = latest(table(spark, d, "review_tasks"), "check_types").where(F.size(F.array_distinct("check_types")) == F.size("check_types"))
+    return t.select("id", text.kinds_text(F.col("check_types"), {"logic": "logic errors"}, "Check these:").alias("prompt"))
+
+
+@query("""SELECT model_identifier, display_name, false AS is_default FROM model_nodes WHERE model_identifier <> 'lab/corvid-coder-7b'
+UNION ALL SELECT 'lab/corvid-coder-7b', 'New name', true UNION ALL SELECT 'lab/new', 'New node', false""")
+def upsert_nodes(spark, d):
+    nodes = table(spark, d, "model_nodes").select("model_identifier", "display_name", F.lit(False).alias("is_default"), F.lit(0).alias("version"))
+    new = spark.createDataFrame([("lab/corvid-coder-7b", "New name", True, 1), ("lab/new", "New node", False, 1)], "model_identifier string, display_name string, is_default boolean, version int")
+    return state.upserted(nodes, new, "model_identifier", "version").drop("version")
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' - INTERVAL 30 MINUTE) WHERE n <= 360""")
+def retained_samples(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("node_id"), F.col("ts").alias("captured_at"))
+    return peaks.retained(e, "2024-01-10 00:00:00").select("event_id", F.col("node_id").alias("user_id"))
+
+
+@query(f"""SELECT id, display_name, status FROM {L("review_tasks")} WHERE id = (SELECT min(id) FROM review_tasks)""")
+def point_lookup(spark, d):
+    t = table(spark, d, "review_tasks")
+    first = F.broadcast(t.agg(F.min("id").alias("id")))  # one row
+    return latest(t.select("id", "display_name", "status", "updated_at").join(first, "id", "left_semi"), "display_name", "status").select("id", "display_name", "status")
