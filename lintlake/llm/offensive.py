@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Labelled documents that the classifier is fitted on at most (a sample by the hash of the id).
 LABELLED = 20_000
+#: Characters of a document that the fit takes; longer ones are scored, but not learnt from.
+LONGEST = 50_000
 #: Weights of the model.
 WEIGHTS = 1 << 18
 #: Strengths of the pull to the prior and of the counterfactual penalty; steps of each fitting.
@@ -251,7 +253,7 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> D
     """(text, is_abusive) of labelled documents: the annotators' majority, ties and null labels left out, at most `most` rows."""
     votes = labels.where("doc_id IS NOT NULL AND is_abusive IS NOT NULL").groupBy("doc_id").agg(F.avg("is_abusive").alias("share"))
     sure = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return sure.join(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL").select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("is_abusive"))
+    return sure.join(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL").where(F.length("text") <= LONGEST).select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("is_abusive"))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
