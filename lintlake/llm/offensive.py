@@ -28,7 +28,7 @@ SEEN, SPAN = 3, (12, 5)
 #: Share of labels that are taken to be wrong.
 WRONG = 0.05
 #: Score from which a document is offending.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Sentences that a task remembers.
 REMEMBERED = 200_000
 
@@ -76,6 +76,7 @@ def plain(sentence: str) -> str:
     if re.search("[Ѐ-ӿͰ-Ͽ]", t) and re.search("[a-z]", t):
         t = t.translate(_LOOKS)
     t = _SPACED.sub(lambda m: (lambda j: f"{j} {j[1:]}" if j[0] in "aiyo" and len(j) > 4 else j)(re.sub(r"[^\w]|_", "", m[0])), t)
+    t = re.sub(r"(?<!\w)@(\w+)", r"@\1 \1", t)  # a mention or a disguised letter: read both ways
     t = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) - 1 and len(m[0]) > 2 else m[0], t)
     return re.sub(r"([^\W\d_])\1+", r"\1", re.sub(r"\d+", "Ⓝ", t))  # letters drawn out or doubled count once
 
