@@ -14,16 +14,18 @@ def ranked(findings: Column) -> Column:
     return F.array_sort(numbered)
 
 
-def severity_counts(findings: Column) -> list[Column]:
+def severity_counts(severities: Column) -> list[Column]:
+    """How often each severity stands in an array of severities; the array is all that has to be read of the findings."""
+
     def of(severity: str) -> Column:
-        return F.coalesce(F.size(F.filter(findings, lambda f: f.severity == severity)), F.lit(0)).alias(f"{severity}_found")
+        return F.coalesce(F.size(F.filter(severities, lambda s: s == severity)), F.lit(0)).alias(f"{severity}_found")
 
     return [of(s) for s in SEVERITIES]
 
 
-def category_counts(findings: Column) -> Column:
-    """Only the categories that occur, as a map."""
-    pairs = F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), lambda c: F.struct(c.alias("key"), F.size(F.filter(findings, lambda f: f.category == c)).alias("value")))
+def category_counts(categories: Column) -> Column:
+    """Of an array of categories, only those that occur, as a map."""
+    pairs = F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), lambda c: F.struct(c.alias("key"), F.size(F.filter(categories, lambda x: x == c)).alias("value")))
     return F.map_from_entries(F.filter(pairs, lambda p: p.value > 0))
 
 

@@ -22,6 +22,12 @@ def reports(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest(table(spark, d, "reports"), "task_id", *columns)
 
 
+def parts(spark: SparkSession, d: str, *columns: str, **nested: str) -> DataFrame:
+    """Latest reports with parts of their findings: only these are read, and only these pass the shuffle."""
+    r = table(spark, d, "reports").where("result_json IS NOT NULL")
+    return latest(r.select("id", "task_id", "updated_at", *columns, *[F.col(f"result_json.{v}").alias(k) for k, v in nested.items()]))
+
+
 def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest(table(spark, d, "review_files"), "task_id", "relative_path", *columns)
 
@@ -168,41 +174,43 @@ def running_percent(spark, d):
 
 @query(f"""SELECT id, {", ".join(f"len([f FOR f IN result_json.findings IF f.severity = '{s}'])::INT AS {s}_found" for s in SEVERITIES)} FROM {L("reports")} WHERE result_json IS NOT NULL""")
 def severity_histogram(spark, d):
-    return reports(spark, d, "result_json").where("result_json IS NOT NULL").select("id", *findings.severity_counts(F.col("result_json.findings")))
+    return parts(spark, d, severities="findings.severity").select("id", *findings.severity_counts(F.col("severities")))
 
 
 @query(f"""SELECT id, {", ".join(f"{s}_count <> len([f FOR f IN result_json.findings IF f.severity = '{s}']) AS {s}_stale" for s in SEVERITIES)} FROM {L("reports")} WHERE result_json IS NOT NULL
 AND ({" OR ".join(f"{s}_count <> len([f FOR f IN result_json.findings IF f.severity = '{s}'])" for s in SEVERITIES)})""")
 def stale_counts(spark, d):
-    r = reports(spark, d, "result_json", *[f"{s}_count" for s in SEVERITIES]).where("result_json IS NOT NULL").select("id", *[f"{s}_count" for s in SEVERITIES], *findings.severity_counts(F.col("result_json.findings")))
+    stored = [f"{s}_count" for s in SEVERITIES]
+    r = parts(spark, d, *stored, severities="findings.severity").select("id", *stored, *findings.severity_counts(F.col("severities")))
     wrong = {s: F.col(f"{s}_count") != F.col(f"{s}_found") for s in SEVERITIES}
     return r.where(wrong["high"] | wrong["medium"] | wrong["low"] | wrong["suggestion"]).select("id", *[c.alias(f"{s}_stale") for s, c in wrong.items()])
 
 
 @query(f"""SELECT id, f.category AS category, count(*)::INT AS n FROM (SELECT id, unnest(result_json.findings) AS f FROM {L("reports")}) GROUP BY 1, 2""")
 def category_counts_long(spark, d):
-    r = reports(spark, d, "result_json").select("id", findings.category_counts(F.col("result_json.findings")).alias("m"))
+    r = parts(spark, d, categories="findings.category").select("id", findings.category_counts(F.col("categories")).alias("m"))
     return r.select("id", F.explode("m").alias("category", "n"))
 
 
 @query(f"""WITH p AS (SELECT t.model_node_id AS task_id, r.result_json.score AS score, len(r.result_json.findings) AS n FROM {L("reports")} r JOIN {L("review_tasks")} t ON t.id = r.task_id WHERE r.result_json IS NOT NULL)
 SELECT task_id, CASE WHEN sum(n) > 0 THEN greatest(0.0, min(score)) ELSE round(avg(score), 2) END AS score, sum(n)::BIGINT AS finding_count FROM p GROUP BY task_id""")
 def merge_score(spark, d):
-    parts = reports(spark, d, "result_json").where("result_json IS NOT NULL").join(tasks(spark, d).select(F.col("id").alias("task_id"), "model_node_id"), "task_id")
-    return findings.merged(parts.select(F.col("model_node_id").alias("task_id"), "result_json.score", "result_json.findings"))
+    each = parts(spark, d, score="score", findings="findings.severity").join(tasks(spark, d).select(F.col("id").alias("task_id"), "model_node_id"), "task_id")
+    return findings.merged(each.select(F.col("model_node_id").alias("task_id"), "score", "findings"))
 
 
 @query(f"""SELECT id, (row_number() OVER (PARTITION BY id ORDER BY {RANK_SQL}, f.file_path, coalesce(nullif(f.line, 0), 1000000000), i))::INT AS n, f.severity AS severity, f.file_path AS file_path, f.line AS line, f.title AS title
 FROM (SELECT id, unnest(result_json.findings) AS f, generate_subscripts(result_json.findings, 1) AS i FROM {L("reports")})""")
 def findings_sorted(spark, d):
-    r = reports(spark, d, "result_json").where("result_json IS NOT NULL").select("id", F.posexplode(findings.ranked(F.col("result_json.findings"))).alias("at", "x"))
+    names = ("severity", "file_path", "line", "title")
+    r = parts(spark, d, **{k: f"findings.{k}" for k in names}).select("id", F.posexplode(findings.ranked(F.arrays_zip(*names))).alias("at", "x"))
     return r.select("id", (F.col("at") + 1).alias("n"), "x.f.severity", "x.f.file_path", "x.f.line", "x.f.title")
 
 
 @query(f"""SELECT id, array_to_string([f.title FOR f IN result_json.findings IF f.severity = 'low'][1:15], '|') AS titles FROM {L("reports")} WHERE result_json IS NOT NULL""")
 def findings_page15(spark, d):
-    low = F.filter(F.col("result_json.findings"), lambda f: f.severity == "low")
-    return reports(spark, d, "result_json").where("result_json IS NOT NULL").select("id", F.array_join(F.transform(F.slice(low, 1, 15), lambda f: f.title), "|").alias("titles"))
+    low = F.filter(F.arrays_zip("severity", "title"), lambda f: f.severity == "low")
+    return parts(spark, d, severity="findings.severity", title="findings.title").select("id", F.array_join(F.transform(F.slice(low, 1, 15), lambda f: f.title), "|").alias("titles"))
 
 
 @query(f"SELECT id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'warning' ELSE 'danger' END AS tone FROM {L('reports')}")
@@ -401,7 +409,7 @@ _LABELS = {"memory_safety": "Memory", "logic": "Logic", "style": "Style"}
 @query(f"""SELECT f.category AS category, coalesce(map {_LABELS}[f.category], f.category) AS label, count(*) AS n FROM (SELECT unnest(result_json.findings) AS f FROM {L("reports")}) GROUP BY 1, 2""")
 def label_lookup(spark, d):
     labels = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])
-    f = reports(spark, d, "result_json").select(F.explode("result_json.findings").alias("f")).select("f.category")
+    f = parts(spark, d, categories="findings.category").select(F.explode("categories").alias("category"))
     return f.select("category", F.coalesce(F.try_element_at(labels, F.col("category")), F.col("category")).alias("label")).groupBy("category", "label").agg(F.count("*").alias("n"))
 
 

@@ -154,8 +154,8 @@ def workspace_order(spark, d):
 
 @query(f"""SELECT id, f.title AS title, replace(replace(replace(replace(replace(f.title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS shown FROM (SELECT id, unnest(result_json.findings) AS f FROM {L("reports")})""")
 def escaped_titles(spark, d):
-    f = latest(table(spark, d, "reports"), "result_json").select("id", F.explode("result_json.findings").alias("f"))
-    return f.select("id", "f.title", text.escaped(F.col("f.title")).alias("shown"))
+    r = table(spark, d, "reports").select("id", "updated_at", F.col("result_json.findings.title").alias("titles"))  # nothing else is read
+    return latest(r).select("id", F.explode("titles").alias("title")).select("id", "title", text.escaped(F.col("title")).alias("shown"))
 
 
 @query(f"""SELECT id, CASE WHEN duration_ms IS NULL THEN '--' ELSE (duration_ms // 1000) || '.' || (duration_ms % 1000 // 100) || ' s' END AS duration FROM {L("review_tasks")}""")
