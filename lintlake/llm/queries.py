@@ -42,7 +42,7 @@ def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return leakage.without_leaks(docs, p7_runs(spark, sf_dir)).select("doc_id", "source", "repository", "created_at")
+    return leakage.without_leaks(docs, p7_runs(spark, sf_dir)).select("doc_id", "source", "repository")
 
 
 @query
@@ -130,3 +130,25 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offensive.rates(p8_scores(spark, sf_dir))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _runs(table_: str, key: str) -> str:
+    return f"(SELECT {key}, unnest([array_to_string(ws[i:i + 11], ' ') FOR i IN range(1, len(ws) - 10)]) AS g FROM (SELECT {key}, regexp_extract_all({_LOWER.format('text')}, '[a-z0-9]+') AS ws FROM {table_} WHERE text IS NOT NULL))"
+
+
+_LEAKS = f"(SELECT DISTINCT d.doc_id, e.item_id FROM {_runs('documents', 'doc_id')} d JOIN {_runs('eval_items', 'item_id')} e ON d.g = e.g)"
+SQL["p7_found"] = f"SELECT * FROM {_LEAKS}"
+SQL["p7_clean"] = f"SELECT doc_id, source, repository FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM {_LEAKS})"
+#: The same pairs by a prefix filter over exact frequencies and a full count.
+SQL["p1_found"] = """
+WITH w AS (SELECT id, any_value(regexp_extract_all(source_text, '[A-Za-z0-9_]+')) AS ws FROM review_files WHERE source_text IS NOT NULL GROUP BY id),
+t AS (SELECT DISTINCT id, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) AS g FROM w),
+f AS (SELECT g, count(*) AS df FROM t GROUP BY g), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+p AS (SELECT t.id, t.g, n.n, row_number() OVER (PARTITION BY t.id ORDER BY f.df, t.g) AS r FROM t JOIN f ON f.g = t.g JOIN n ON n.id = t.id),
+q AS (SELECT id, g, n FROM p WHERE r <= n - (7 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb FROM q a JOIN q b ON a.g = b.g AND a.id < b.id WHERE 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)),
+o AS (SELECT id_a, id_b, na, nb, count(*) AS k FROM c JOIN t a ON a.id = c.id_a JOIN t b ON b.id = c.id_b AND b.g = a.g GROUP BY ALL)
+SELECT id_a, id_b FROM o WHERE 10 * k >= 7 * (na + nb - k)"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm import answers, endings, grammar_c, grammar_json, grammar_py, leakage, neardup, offensive, secrets, syntax, tokenize, truncation
 from lintlake.llm.peg import Grammar
-from lintlake.llm.queries import QUERIES
+from lintlake.llm.queries import QUERIES, SQL
 
 FILES = "id string, task_id string, relative_path string, source_text string, key long, items string, text string"
 
@@ -398,3 +398,18 @@ def test_offensive(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{f}'")
+    df = QUERIES[name](spark, sf_dir)
+    got = con.execute(SQL[name])
+    at = [[x[0] for x in got.description].index(c) for c in df.columns]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in got.fetchall()), key=repr)
