@@ -3,7 +3,8 @@
 Lengths: of all values of a field and source, the hazard of length L is the share of values that end at L among those that
 reach it.  A limit shows as a hazard far above its neighbours'; all lengths are tested together with false-discovery control.
 Endings: a value is a case where its ending is incomplete (see endings); where nothing is known about its ending, the value
-counts only at a significant length.
+counts only at a significant length.  A log that ends in a raw response counts with a mark of the cut, or where the response is
+incomplete at a significant length: a response may end early inside a whole log.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lintlake.llm import endings
+from lintlake.llm import answers, endings
 from lintlake.llm.env import reliable
 
 #: Neighbouring lengths that a hazard is held against, and the rate of false discoveries.
@@ -29,25 +30,37 @@ def _log_text(log: str) -> str:
     return "\n".join(_STAMP.sub("", e.split(_RAW, 1)[0] if _RAW in e else e) for e in _ENTRY.split(log))
 
 
-def _log_tail(log: str) -> tuple[str | None, bool]:
-    """The last line, and whether it belongs to a raw response."""
+def _log_tail(log: str) -> tuple[str, bool]:
+    """The last line, or the whole raw response where the log ends in one, and whether it is one."""
     last = _ENTRY.split(log.rstrip())[-1]
     head, raw, answer = last.partition(_RAW)
-    lines = (answer if raw else _STAMP.sub("", head)).rstrip().split("\n")
-    return lines[-1], bool(raw)
+    return (answer.strip() if raw else _STAMP.sub("", head).rstrip().split("\n")[-1]), bool(raw)
+
+
+def _raw_end(answer: str) -> tuple[str | None, str | None]:
+    """What a raw response at the end of a log tells: `whole`, `cut` (a mark), `open` (a cut if the length is a limit), or the part to be judged."""
+    mark = endings.MARK.search(answer)
+    if mark and re.search("trunc|cut|snip|abgeschnitten|截断", mark[0], re.I):
+        return "cut", None
+    prose, value, open_ = answers.unwrap(answer)
+    if open_ or not prose:
+        return "open", None
+    said = "whole" if value is not None else endings.plain(prose)
+    return ("open" if said == "cut" else said), (None if said else endings.last_sentence(prose))
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each value what its text alone tells, and the part to be judged where that is nothing."""
     for b in batches:
-        said, part = [], []
+        said, part, raws = [], [], []
         for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist(), strict=True):
             tail, raw = _log_tail(text) if field == "model_log" else (endings.last_sentence(text), False)
             whole = text if field != "model_log" else tail
-            say = "whole" if raw else endings.plain(whole)
+            say, tail = _raw_end(tail) if raw else (endings.plain(whole), tail)
             said.append(say)
             part.append(tail if say is None else None)
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("record_id", "field", "finding_no", "source", "length")], pa.array(said, pa.string()), pa.array(part, pa.string())], names=["record_id", "field", "finding_no", "source", "length", "said", "tail"])
+            raws.append(raw)
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("record_id", "field", "finding_no", "source", "length")], pa.array(said, pa.string()), pa.array(part, pa.string()), pa.array(raws, pa.bool_())], names=["record_id", "field", "finding_no", "source", "length", "said", "tail", "raw"])
 
 
 def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +103,18 @@ def judged(tasks: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = tasks.select(F.col("id").alias("task_id"), F.col("model_node_id").alias("source")).dropDuplicates(["task_id"])
     every = values(tasks, reports).join(source, "task_id", "left").withColumn("length", F.length("text"))
     model = endings.learn(values(tasks, reports).select("field", "text").mapInArrow(_learn_texts, "text string"))
-    tails = every.select("record_id", "field", "finding_no", "source", "length", "text").mapInArrow(_tails, "record_id string, field string, finding_no int, source string, length int, said string, tail string")
+    tails = every.select("record_id", "field", "finding_no", "source", "length", "text").mapInArrow(_tails, "record_id string, field string, finding_no int, source string, length int, said string, tail string, raw boolean")
     tails = reliable(tails.dropDuplicates(["record_id", "field", "finding_no"]))
     hazard = reliable(hazards(tails.select("field", "source", "length")))
     ref = F.concat_ws("\t", "record_id", "field", F.col("finding_no").cast("string"))
     open_ = tails.where("tail IS NOT NULL").withColumn("ref", ref)
     counts = endings.judge(open_.select("ref", F.col("tail").alias("text")), model)
     limits = hazard.where("significant").select("field", "source", "length", F.lit(True).alias("limit"))
-    said = open_.join(counts, "ref", "left").join(limits, ["field", "source", "length"], "left")
-    cut = F.when(F.col("level").isNotNull(), endings.is_cut()).otherwise(F.coalesce("limit", F.lit(False)))
-    closed = tails.where("tail IS NULL").withColumn("cut", F.col("said") == "cut")
+    limit = F.coalesce("limit", F.lit(False))
+    at = tails.withColumn("ref", ref).join(limits, ["field", "source", "length"], "left")
+    said = at.where("tail IS NOT NULL").join(counts, "ref", "left")
+    cut = F.when(F.col("level").isNotNull(), endings.is_cut() & (limit | ~F.col("raw"))).otherwise(limit)
+    closed = at.where("tail IS NULL").withColumn("cut", (F.col("said") == "cut") | (F.col("said") == "open") & limit)
     cols = ["record_id", "field", "finding_no", "source", "length"]
     return closed.select(*cols, "cut").unionByName(said.withColumn("cut", cut).select(*cols, "cut")), hazard
 

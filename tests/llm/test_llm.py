@@ -275,6 +275,20 @@ def test_hazards_find_a_limit(spark):
     assert [r.length for r in got] == [200]
 
 
+def test_logs_cut_in_a_raw_response(spark):
+    def log(raw):
+        return _log((REQ, "failed: bad\nDetails:\nx\nRaw model response:\n" + raw))
+
+    long_ = '{"summary": "' + "The index comes straight from the wire and reaches the buffer. " * 30 + '", "findings": []}'
+    rows = [(f"w{i}", "n", log('{"summary": "' + "x" * i + '"}'), "x") for i in range(1, 150)]
+    rows += [(f"c{i}", "n", log(long_)[:900], "x") for i in range(20)]
+    whole = log('{"summary": ""}')
+    rows += [("fits", "n", whole[:-2] + "x" * (900 - len(whole)) + '"}', "x")]
+    rows += [("mark", "n", log(long_)[:870] + " [truncated 1,234 chars]", "x"), ("early", "n", log(long_)[:851], "x"), ("done", "n", log(long_), "x")]
+    cases = truncation.judged(spark.createDataFrame(rows, TASKS), spark.createDataFrame([], REPORTS))[0]
+    assert {r.record_id for r in cases.where("cut").collect()} == {"mark", *(f"c{i}" for i in range(20))}
+
+
 # 5
 
 
