@@ -25,6 +25,8 @@ _TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W\d_]+|[^\s]")
 _CJK = re.compile(r"[㐀-鿿぀-ヿ]")
 #: A word never closes that goes on so often, and so many times as often as it closes.
 NEVER = (50, 20)
+#: So many values end one word after two words where that is how values end.
+LAST = 2
 #: Sentences that a task counts before it hands the counts on.
 HELD = 50_000
 
@@ -80,9 +82,9 @@ def _key(level: int, *parts: str) -> int:
 
 
 def _keys(tokens: list[str]) -> list[int]:
-    """The sentence as a whole, and its last three, two and one words."""
+    """The two words before the last, whatever follows them; the sentence as a whole, and its last three, two and one words."""
     pad = ["^", "^", *tokens]
-    return [_key(4, *tokens), *(_key(k, *pad[-k:]) for k in (3, 2, 1))]
+    return [_key(5, *pad[-3:-1]), _key(4, *tokens), *(_key(k, *pad[-k:]) for k in (3, 2, 1))]
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +130,12 @@ class _Steps:
     def out(self) -> pa.RecordBatch:
         total: dict[int, list[int]] = {k: [0, n, 0] for k, n in self.whole.items()}
         runs, stops, ends = self.runs, self.stops, self.ends
+        for run, n in runs.items():  # values that end one word after these two, and all else that follows
+            x = total.setdefault(_key(5, *run[:-1]), [0, 0, 0])
+            x[0] += n - ends[run]
+            x[2] += ends[run]
+        for run, n in stops.items():
+            total.setdefault(_key(5, *run[1:]), [0, 0, 0])[0] += n
         for level in (3, 2, 1):
             for run, n in runs.items():
                 s, e = stops[run], ends[run]
@@ -177,7 +185,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, level, keys, word = [], [], [], []
         for k, text in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), strict=True):
             ws = words(form(last_sentence(MARK.sub("", text.rstrip()))))
-            for n, key in zip((4, 3, 2, 1), _keys(ws), strict=True):
+            for n, key in zip((5, 4, 3, 2, 1), _keys(ws), strict=True):
                 rows.append(k)
                 level.append(n)
                 keys.append(key)
@@ -186,15 +194,33 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judge(values: DataFrame, model: DataFrame) -> DataFrame:
-    """(ref, goes, stops, ends, level, never) for values(ref, text): the counts of the longest beginning that says something."""
+    """(ref, goes, stops, ends, level, never, last) for values(ref, text): the counts of the longest beginning that says something.
+
+    `never`: the last word never closes; `last`: other values mostly end one word after the same two words.
+    """
     asked = values.select(F.col("ref").cast("string").alias("ref"), "text").mapInArrow(_asked, "ref string, level int, key long, word boolean")
     known = asked.join(model, "key").withColumn("ends", F.greatest(F.col("ends") - 1, F.lit(0)))
     said = known.where("goes + stops + ends >= 1")
     never = (F.col("level") == 1) & F.col("word") & (F.col("goes") >= NEVER[0]) & (F.col("goes") > NEVER[1] * (F.col("stops") + F.col("ends")))
-    best = said.groupBy("ref").agg(F.max_by(F.struct("goes", "stops", "ends", "level"), "level").alias("x"), F.max(never).alias("never"))
-    return best.select("ref", "x.*", "never")
+    last = (F.col("level") == 5) & (F.col("ends") >= LAST) & (F.col("ends") > F.col("goes"))
+    counts = F.when(F.col("level") < 5, F.struct("goes", "stops", "ends", "level"))
+    best = said.groupBy("ref").agg(F.max_by(counts, F.when(F.col("level") < 5, F.col("level"))).alias("x"), F.max(never).alias("never"), F.max(last).alias("last"))
+    return best.where("x IS NOT NULL").select("ref", "x.*", "never", "last")
 
 
 def is_cut():
     """Whether the counts speak for a cut: the beginning goes on more often than it closes, or its last word never closes."""
     return F.coalesce("never", F.lit(False)) | (F.col("goes") > 2 * F.col("stops")) & (F.col("goes") > F.col("ends"))
+
+
+def is_cut_at(limit):
+    """The same where `limit` tells whether the value ends at a length that is a limit.
+
+    There it is enough that the beginning goes on as often as it closes.  At other lengths one or two words that are known
+    from other sentences only must go on almost always, and not stand where values end.
+    """
+    goes, stops, ends = F.col("goes"), F.col("stops"), F.col("ends")
+    never, last = F.coalesce("never", F.lit(False)), F.coalesce("last", F.lit(False))
+    weak = (goes > 0) & (goes >= stops) & (goes >= ends) | never & ~last
+    strong = F.when(F.col("level") >= 3, (goes > 2 * stops) & (goes > ends)).otherwise((goes > NEVER[1] * (stops + ends)) & ~last)
+    return F.when(limit, weak).otherwise(strong | never & ~last)

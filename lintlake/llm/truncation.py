@@ -2,8 +2,8 @@
 
 Lengths: of all values of a field and source, the hazard of length L is the share of values that end at L among those that
 reach it.  A limit shows as a hazard far above its neighbours'; all lengths are tested together with false-discovery control.
-Endings: a value is a case where its ending is incomplete (see endings); where nothing is known about its ending, the value
-counts only at a significant length.  A log that ends in a raw response counts with a mark of the cut, or where the response is
+Endings: a value is a case where its ending is incomplete (see endings).  At a significant length weaker evidence is enough,
+elsewhere it must be stronger; where nothing is known about its ending, the value counts only at a significant length.  A log that ends in a raw response counts with a mark of the cut, or where the response is
 incomplete at a significant length: a response may end early inside a whole log.
 """
 
@@ -113,7 +113,7 @@ def judged(tasks: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     limit = F.coalesce("limit", F.lit(False))
     at = tails.withColumn("ref", ref).join(limits, ["field", "source", "length"], "left")
     said = at.where("tail IS NOT NULL").join(counts, "ref", "left")
-    cut = F.when(F.col("level").isNotNull(), endings.is_cut() & (limit | ~F.col("raw"))).otherwise(limit)
+    cut = F.when(F.col("level").isNotNull(), endings.is_cut_at(limit) & (limit | ~F.col("raw"))).otherwise(limit)
     closed = at.where("tail IS NULL").withColumn("cut", (F.col("said") == "cut") | (F.col("said") == "open") & limit)
     cols = ["record_id", "field", "finding_no", "source", "length"]
     return closed.select(*cols, "cut").unionByName(said.withColumn("cut", cut).select(*cols, "cut")), hazard

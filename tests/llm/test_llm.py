@@ -289,6 +289,17 @@ def test_logs_cut_in_a_raw_response(spark):
     assert {r.record_id for r in cases.where("cut").collect()} == {"mark", *(f"c{i}" for i in range(20))}
 
 
+def test_length_decides_with_the_ending(spark):
+    full, other = "The caller of this must hold the lock while it reads.", "One of the writers must hold the lock."
+    open_ = full[: full.index(" while")]
+    texts = [(f"f{i}", f"`{'q' * i}` is set. {full}") for i in range(1, 41)] + [(f"o{i}", f"`{'q' * i}` is set. {other}") for i in range(1, 31)]
+    texts += [(f"c{i}", f"`{'q' * 10}` is set. {open_}") for i in range(20)] + [("free", f"`{'q' * 33}` is set. {open_}")]
+    texts += [(f"p{i}", f"Stale {n} pointer") for i, n in enumerate("ring node page lock pump relay".split())] + [(f"g{i}", f"`{'q' * i}` is a pointer to it.") for i in range(1, 61)]
+    reports = [(i, "t", None, ("s", [(x, None)]), "x") for i, x in texts]
+    cases = truncation.judged(spark.createDataFrame([("t", "n", None, "x")], TASKS), spark.createDataFrame(reports, REPORTS))[0]
+    assert {r.record_id for r in cases.where("cut").collect()} == {f"c{i}" for i in range(20)}
+
+
 # 5
 
 
