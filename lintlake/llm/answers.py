@@ -1,8 +1,8 @@
 """Problem 3: broken pairs of a request and its answer.
 
 Each attempt of a log is put together with its answer.  Openings of answers are reduced to forms and clustered by MinHash with
-verified similarity; a cluster that recurs across unrelated requests and mostly refuses in words makes refusals of all its
-members.  Copies, other languages, nothing at all and answers that stop early are told by checks on the pair itself.
+verified similarity, connected through all bands; a cluster that recurs across unrelated requests and mostly refuses in words,
+or without findings mostly speaks of declining, makes refusals of all its members.  Copies, other languages, nothing at all and answers that stop early are told by checks on the pair itself.
 """
 
 from __future__ import annotations
@@ -45,10 +45,25 @@ _REFUSES = re.compile(
     |\b(?:sorry|apologies|unfortunately|regret)\b[^.!?]{0,60}\b(?:i|my|me|we)\b[^.!?]{0,60}\b(?:can(?:no|['’])t|cannot|unable|not|decline|outside)\b
     |\bkann\s+ich\b[^.!?]{0,50}\bnicht\b|\bich\s+kann\b[^.!?]{0,50}\bnicht\b[^.!?]{0,40}\b(?:helfen|pr[üu]fen|beurteilen|bewerten|antworten|beantworten|dienen)|\bmuss\s+ich\b[^.!?]{0,30}\bablehnen|\bich\s+(?:muss|m[öo]chte)\b[^.!?]{0,60}\b(?:ablehnen|nicht)|\bmeinen\s+richtlinien|\bdarf\s+ich\b[^.!?]{0,30}\bnicht|\bich\s+darf\b[^.!?]{0,40}\bnicht|\bals\s+ki\b|\bich\s+lehne\b|\bbin\s+(?:ich\s+)?nicht\s+(?:in\s+der\s+lage|befugt)
     |\bno\s+puedo\b|\bdebo\s+rechazar|\bmis\s+(?:normas|pol[íi]ticas|directrices)|\bno\s+me\s+es\s+posible|\bno\s+me\s+est[áa]\s+permitido|\bcomo\s+(?:modelo\s+de|una?\s+ia|asistente)|\bme\s+niego|\bno\s+estoy\s+(?:autorizad|en\s+condiciones)|\blo\s+siento
-    |\bje\s+ne\s+peux\s+pas|\bd[ée]sol[ée]
+    |\bje\s+(?:ne\s+(?:peux|puis|pourrai|suis)|refuse|d[ée]cline|dois\s+(?:refuser|d[ée]cliner))\b|\bd[ée]sol[ée]|\bil\s+m['’]est\s+impossible|\ben\s+tant\s+qu['’]ia\b|\bmes\s+(?:r[èe]gles|consignes|directives)
+    |\b(?:non\s+(?:posso|mi\s+[èe]\s+(?:possibile|permesso|consentito)|sono\s+in\s+grado)|devo\s+(?:rifiutare|declinare)|mi\s+rifiuto|mi\s+dispiace|sono\s+spiacente)\b|\ble\s+mie\s+(?:regole|linee\s+guida)
+    |\b(?:n[ãa]o\s+(?:posso|consigo|me\s+[ée]\s+(?:poss[íi]vel|permitido)|estou\s+autorizad[oa])|devo\s+recusar|recuso-me|lamento|sinto\s+muito|desculpe)\b|\bminhas\s+(?:regras|pol[íi]ticas|diretrizes)
     |(?:抱歉|很遗憾|遗憾的是|对不起|作为[^。]{0,10}(?:人工智能|语言模型|AI))[^。]{0,40}(?:不能|无法|拒绝|不便)|我(?:不能|无法|不会|不便|拒绝)|(?:不符合|违反)[^。]{0,12}(?:规范|政策|准则|规定)|无法(?:协助|提供帮助)""",
     re.I | re.X,
 )
+#: What a reviewer may be unable to do without refusing: to see or name a defect.
+_PERCEIVES = re.compile(
+    r"""[^.!?。]{0,25}?(?:\b(?:see|find|spot|detect|identify|point\s+to|name|think\s+of|notice|locate|discover|fault)\s+(?:any|a|an|anything|one|no|another|further|serious|obvious|much)\b|\b(?:finden|sehen|erkennen|entdecken|feststellen|ausmachen)\b
+    |\b(?:ver|encontrar|hallar|detectar|se[ñn]alar|identificar|vedere|trovare|rilevare|voir|trouver|d[ée]tecter|encontrar|achar)\s+(?:ning|alg|un|aucun|nessun|nenhum|defe|d[ée]fa|err|fall)|发现|找到|看到|看出|检测到)""",
+    re.I | re.X,
+)
+_HELP = r"help|assist|comply|review|audit|analy[sz]e|evaluate|assess|request|task|discuss|opinion|answer|respond|policy|guidelines?|permitted|allowed|remit|engage|helfen|prüfen|anfrage|richtlinien|ayudar|revisar|petición|solicitud|normas|aider|examiner|demande|règles|aiutare|esaminare|richiesta|ajudar|analisar|pedido"
+_NOT = r"not|no|cannot|\w+n['’]t|never|unable|refus\w+|declin\w+|forbid\w*|prohibit\w*|beyond|outside|against|nicht|kein\w*|ablehnen|imposible|rechaz\w+|pas|impossible|refuser|non|rifiut\w+|impossibile|n[ãa]o|recus\w+|imposs[íi]vel"
+#: Words of declining, which count only for a template; and words that only a review has.
+_DECLINES = re.compile(rf"\b(?:{_NOT})\b[^.!?]{{0,60}}\b(?:{_HELP})\b|\b(?:{_HELP})\b[^.!?]{{0,60}}\b(?:{_NOT})\b|(?:不|无法|拒绝)[^。]{{0,20}}(?:审查|回答|协助|帮助|请求|处理|评审)", re.I)
+_REVIEWS = re.compile(r"\b(?:defects?|issues?|findings?|found|bugs?|problems?|risks?|errors?|flaws?|fehler|m[äa]ngel|befunde?|gefunden|defectos?|errores|hallazgos?|fallos?|riesgos?|d[ée]fauts?|erreurs?|difett[oi]|error[ei]|defeitos?|erros?|problem\w*)\b|缺陷|问题|风险|漏洞|错误", re.I)
+#: Distinct requests under which a template that only speaks of declining is a refusal.
+RECURS = 3
 #: Common words that tell a language (fixed values).
 _STOPWORDS = {
     "en": "the of and is in to that with was are not for be has have by an this it its on at as but which from were been can may should does do more than only before after every you your please where what how no",
@@ -71,6 +86,16 @@ _QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|«[^»]*»|「[^」]*」
 _LABEL = re.compile(r"^\s*[\"'“]?(?:(?:you\s+(?:asked|wrote|said)|request|summary|question|prompt|task|answer|re|anfrage|frage|solicitud|pregunta|petici[óo]n|请求|问题|摘要)\s*[:：]\s*)+", re.I)
 
 
+def refuses(prose: str) -> bool:
+    """Whether the wording alone is a refusal."""
+    return any(not _PERCEIVES.match(prose, m.end()) for m in _REFUSES.finditer(prose))
+
+
+def declines(prose: str) -> bool:
+    """Whether the wording may be a refusal, if it recurs."""
+    return not _REVIEWS.search(prose) and bool(_DECLINES.search(prose))
+
+
 def attempts(log: str) -> list[tuple[int, str, str, str | None]]:
     """(number, request, outcome, raw response) of each attempt that ended."""
     out, request = [], ""
@@ -184,7 +209,7 @@ def check(request: str, summary: str | None, findings: int, raw: str | None) ->
     if copied(request, bare):
         return "copied", prose, False
     asked, given = language(request), language(bare)
-    if asked and given and asked != given and not _REFUSES.search(bare):
+    if asked and given and asked != given and not refuses(bare):
         return "language", prose, False
     return None, prose, True
 
@@ -205,15 +230,16 @@ def _opening(prose: str) -> str:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["task_id", "attempt", "defect", "opening", "refuses", "prose", "request", "said", "tail"]
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = ["task_id", "attempt", "defect", "opening", "refuses", "declines", "prose", "request", "said", "tail"]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())
     for b in batches:
         rows = []
         for task, n, request, raw, summary, findings in zip(*(b.column(c).to_pylist() for c in ("task_id", "attempt", "request", "raw", "summary", "findings")), strict=True):
             defect, prose, rest = check(request or "", summary, findings or 0, raw)
             said = endings.plain(prose) if rest else None
             tail = endings.last_sentence(prose) if rest and said is None else None
-            rows.append((task, n, defect, _opening(prose) if rest else None, bool(rest and _REFUSES.search(prose)), prose if rest else None, _hash(request or ""), said, tail))
+            looked = rest or defect == "language"
+            rows.append((task, n, defect, _opening(prose) if looked else None, bool(rest and refuses(prose)), bool(looked and not findings and declines(prose)), prose if rest else None, _hash(request or ""), said, tail))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -246,21 +272,46 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"opening": pa.array(who, pa.string()), "band": pa.array(band, pa.int64())})
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by band and opening: each opening with the first in its bucket that it is similar to and that led others or none."""
+    band, leaders = None, []
     for b in batches:
-        good = []
-        for x, y in zip(b.column("opening").to_pylist(), b.column("leader").to_pylist(), strict=True):
-            s, t = shingles(x), shingles(y)
-            good.append(x == y or len(s & t) >= SIMILARITY * len(s | t))
-        yield b.filter(pa.array(good, pa.bool_()))
+        who, lead = [], []
+        for o, k in zip(b.column("opening").to_pylist(), b.column("band").to_pylist(), strict=True):
+            if k != band:
+                band, leaders = k, []
+            s = shingles(o)
+            met = next((x for x, t in leaders if len(s & t) >= SIMILARITY * len(s | t)), None)
+            if met is None:
+                leaders.append((o, s))
+            elif met != o:
+                who.append(o)
+                lead.append(met)
+        yield pa.record_batch({"opening": pa.array(who, pa.string()), "leader": pa.array(lead, pa.string())})
+
+
+def _star(links: DataFrame) -> DataFrame:
+    """(opening, leader): each opening that has links, except the first of its component, with the first (large and small stars in turn)."""
+    before = None
+    while True:
+        links = reliable(links)
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("opening", "leader").cast("decimal(38,0)"))).first()
+        if before == now:
+            return links
+        before = now
+        both = links.unionByName(links.select(F.col("leader").alias("opening"), F.col("opening").alias("leader")))
+        least = both.groupBy("opening").agg(F.min("leader").alias("low")).withColumn("low", F.least("low", "opening"))
+        large = both.join(least, "opening").where("leader > opening").select(F.col("leader").alias("opening"), F.col("low").alias("leader")).distinct()
+        low = large.groupBy("opening").agg(F.min("leader").alias("low"))
+        small = large.join(low, "opening").select(F.explode(F.array(F.struct("opening", F.col("low").alias("leader")), F.struct(F.col("leader").alias("opening"), F.col("low").alias("leader")))).alias("x"))
+        links = small.select("x.*").where("opening <> leader").distinct()
 
 
 def templates(openings: DataFrame) -> DataFrame:
-    """(opening, leader) for distinct openings: the first opening of a MinHash bucket to which it is verified to be similar."""
-    bands = openings.select("opening").mapInArrow(_bands, "opening string, band long").repartition("band")  # one exchange serves both uses
-    lead = bands.groupBy("band").agg(F.min("opening").alias("leader"))
-    met = bands.join(lead, "band").select("opening", "leader").distinct().mapInArrow(_alike, "opening string, leader string")
-    return met.groupBy("opening").agg(F.min("leader").alias("leader"))
+    """(opening, leader) for distinct openings: the first opening of those it is connected to by verified similarity in MinHash buckets."""
+    bands = openings.select("opening").mapInArrow(_bands, "opening string, band long").repartition("band").sortWithinPartitions("band", "opening")
+    star = _star(bands.mapInArrow(_links, "opening string, leader string").distinct())
+    return openings.select("opening").join(star, "opening", "left").withColumn("leader", F.coalesce("leader", "opening"))
 
 
 def broken(tasks: DataFrame, reports: DataFrame) -> DataFrame:
@@ -273,18 +324,19 @@ def broken(tasks: DataFrame, reports: DataFrame) -> DataFrame:
     tried = logs.mapInArrow(_pairs, "task_id string, attempt int, request string, raw string, succeeded boolean").dropDuplicates(["task_id", "attempt"])
     answers = reports.select("task_id", F.coalesce("result_json.summary", "summary").alias("summary"), F.coalesce(F.size("result_json.findings"), F.lit(0)).alias("findings")).dropDuplicates(["task_id"])
     both = tried.join(answers, "task_id", "left").where("NOT succeeded OR findings IS NOT NULL")
-    checked = reliable(both.select("task_id", "attempt", "request", "raw", "summary", "findings").mapInArrow(_checked, "task_id string, attempt int, defect string, opening string, refuses boolean, prose string, request long, said string, tail string"))
-    rest = checked.where("defect IS NULL AND opening IS NOT NULL")
-    forms = reliable(rest.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("refuses").alias("refusing"), F.approx_count_distinct("request").alias("requests")))
-    grouped = reliable(forms.join(templates(forms), "opening", "left").withColumn("leader", F.coalesce("leader", "opening")))
-    verdict = grouped.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.sum("requests").alias("requests"))
+    checked = reliable(both.select("task_id", "attempt", "request", "raw", "summary", "findings").mapInArrow(_checked, "task_id string, attempt int, defect string, opening string, refuses boolean, declines boolean, prose string, request long, said string, tail string"))
+    rest = checked.where("opening IS NOT NULL")
+    forms = reliable(rest.groupBy("opening", "request").agg(F.count("*").alias("n"), F.count_if("refuses").alias("refusing"), F.count_if("declines").alias("declining")))
+    grouped = reliable(templates(forms.select("opening").distinct()))
+    verdict = forms.join(grouped, "opening").groupBy("leader").agg(F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.sum("declining").alias("declining"), F.countDistinct("request").alias("requests"))
     # a template met under one request only stands by its own words
-    refusal = grouped.select("opening", "leader").join(verdict.where("refusing * 2 >= n AND requests > 1").select("leader"), "leader", "left_semi").select("opening", F.lit(True).alias("template"))
+    recurring = verdict.where((F.col("refusing") * 2 >= F.col("n")) & (F.col("requests") > 1) | (F.col("declining") * 2 > F.col("n")) & (F.col("requests") >= RECURS))
+    refusal = grouped.join(recurring.select("leader"), "leader", "left_semi").select("opening", F.lit(True).alias("template"))
     ref = F.concat_ws("\t", "task_id", F.col("attempt").cast("string"))
     open_ = rest.where("tail IS NOT NULL").select(ref.alias("ref"), F.col("tail").alias("text"))
     counts = endings.judge(open_, endings.learn(checked.where("prose IS NOT NULL").select(F.col("prose").alias("text"))))
     ends = rest.withColumn("ref", ref).join(counts, "ref", "left").join(refusal, "opening", "left")
     cut = F.when(F.col("said").isNotNull(), F.col("said") == "cut").otherwise(F.col("level").isNotNull() & endings.is_cut())
-    named = ends.withColumn("defect", F.when(F.coalesce("template", F.lit(False)) | F.col("refuses"), "refusal").when(cut, "truncated"))
-    return named.select("task_id", "attempt", "defect").unionByName(checked.where("defect IS NOT NULL OR opening IS NULL").select("task_id", "attempt", "defect"))
+    named = ends.withColumn("defect", F.when(F.coalesce("template", F.lit(False)) | F.col("refuses"), "refusal").when(F.col("defect").isNotNull(), F.col("defect")).when(cut, "truncated"))
+    return named.select("task_id", "attempt", "defect").unionByName(checked.where("opening IS NULL").select("task_id", "attempt", "defect"))
 

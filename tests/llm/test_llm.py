@@ -243,6 +243,22 @@ def test_broken_pairs(spark):
     assert none.count() == 0
 
 
+def test_refusals_by_template(spark):
+    requests = [REQ.replace("labels", x) for x in ("labels", "pools", "rings", "pumps", "pages")]
+    tasks = [(f"{k}{i}", "n", _log((r, "succeeded with 0 finding(s).")), "x") for k in "ndsf" for i, r in enumerate(requests)] + [("once", "n", _log((REQ, "succeeded with 0 finding(s).")), "x")]
+    said = {"n": "Any review of this submission is declined by the provider.", "d": "I cannot see any defect in the code.", "s": "The code is in fair shape and has no bugs.", "f": "Je ne suis pas en mesure de vous aider avec cette demande."}
+    reports = [(f"{k}{i}", f"{k}{i}", t, None, "x") for k, t in said.items() for i in range(5)] + [("once", "once", "The answer is not for the weak, and the request takes two rounds.", None, "x")]
+    got = {r.task_id: r.defect for r in answers.broken(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(reports, REPORTS)).collect()}
+    assert {k: {got[f"{k}{i}"] for i in range(5)} for k in said} == {"n": {"refusal"}, "d": {None}, "s": {None}, "f": {"refusal"}} and got["once"] is None
+
+
+def test_templates_reach_beyond_the_first_opening(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    chain = [" ".join(words[k : k + 26]) for k in range(8)]
+    got = {r.opening: r.leader for r in answers.templates(spark.createDataFrame([(c,) for c in [*chain, "something else that nobody has said before"]], "opening string")).collect()}
+    assert len({got[c] for c in chain}) == 1 and len(set(got.values())) == 2
+
+
 # 4
 
 
