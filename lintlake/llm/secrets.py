@@ -30,10 +30,14 @@ _KEYED = "api access signing sign svc service secret private priv auth encryptio
 _ABOUT = """env name var variable file filename path dir len length size count max min fmt format hash hashed digest sha sha1 sha256 sha512 md5 crc checksum
 url uri prompt hint label expiry ttl timeout type header field index idx id pattern regex policy fingerprint version public pub cert certificate map list
 stage slot page limit bits bytes error err msg message text help test kind mode state enum""".split()
-#: Read on lower-cased text.
-_TRIGGER = re.compile(
-    r"pass(?! a\b| the\b|ed\b|ing\b|es\b)|pwd|pw\b|secret|token|tok\b|bearer|api|key\b|psk\b|auth|login|cred|://[^\s:/@\"']*:|strn?cmp|memcmp|connect|private key|akia|gh[pousr]_|sk_live|xox[bap]-|sig=|code=|signature=|clave|kennwort|jwt|contrase|密码|口令"
-)
+#: Beginnings of keys that are known as they stand, functions that compare and that log in, and words before an account (fixed values).
+_PREFIXES = "akia asia gh[pousr]_ github_pat_ sk_live_ xox[bapr]- aiza glpat-".split()
+_COMPARES = "strcmp strncmp strcasecmp memcmp equals compare_digest".split()
+_LOGINS = "connect login logon authenticate auth set_?credentials signin sign_in open_session basic_auth".split()
+_ACCOUNTS = ["login", "log in", "user(?:name)?", "account", "anmeldung", "acceso", "usuario"]
+_WORDS = "|".join(dict.fromkeys([*_SURE, "api", "auth", "contrase", "密码", "口令", "private key", *_PREFIXES, *_COMPARES, *_LOGINS]))
+#: Read on lower-cased text: a superset of what the detectors begin with.
+_TRIGGER = re.compile(rf"{_WORDS}|(?:{'|'.join(_ACCOUNTS)})(?!\w)|keys?(?![a-z])|sig(?![a-z])|(?:signature|code)=|://[^\s:/@\"']*:|struct\b[^{{}};\n]*(?:[{{\n]|\Z)")
 _PLACE = re.compile(
     r"""^(?:|[%$].?|%[-+#0-9.lhzjt]*[a-z]|\$\{?\w+\}?|\$\(\w+\)|%\w+%|<[^<>]*>|\[[^\[\]]*\]|\{\{?[^{}]*\}?\}|@\w+@|__\w+__|[*xX.•_\-?#]{2,}|(?:your|my|the|some|enter|insert|put|replace|set|add)[-_ ]?.*|(?:change|fill|todo|tbd|fixme)[-_ ]?.*
     |(?:none|null|nil|true|false|yes|no|on|off|void|undefined|unset|empty|redacted|masked|hidden|removed|example|sample|dummy|test|fake|placeholder|default|secret|password|passwd|token|changeme|string|n/?a)[\d!]{0,2})$""",
@@ -56,13 +60,14 @@ _ESCAPED = re.compile(r"""\\(["'])(?P<name>[A-Za-z_][\w.\-]*)\\\1\s*:\s*\\(["'])
 _PAIR = re.compile(rf"""["'](?P<name>[A-Za-z_][\w.\-]*)["']\s*,\s*(?={_STR})""")
 _BARE = re.compile(r"""(?P<name>[A-Za-z_][\w.\-]*)[ \t]*(?P<op>:=|=(?!=)|:(?!:|//))[ \t]*(?P<value>[^\s"'{(\[,;][^\s"']*)""")
 _SPOKEN = re.compile(r"""(?i)\b(?P<name>pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|(?:api|access)[ _-]?key|psk|passwort|kennwort|contraseña|clave|密码|口令)\b["']?\s*(?:(?:is|was|now|are|ist|war|lautet|es|era)\b|[=:]|是|为|：)\s*["'`]?(?P<value>[^\s"'`,;]+)""")
-_LOGIN = re.compile(r"""(?i)\b(?:login|log in|user(?:name)?|account|anmeldung|acceso|usuario)\b(?: as| with|:)?\s+["'`]?[\w.@-]+["'`]?\s*(?:/|:|,| with | and | mit | con )\s*["'`]?(?P<value>[^\s"'`,;]+)""")
+_LOGIN = re.compile(rf"""(?i)\b(?:{'|'.join(_ACCOUNTS)})\b(?: as| with|:)?\s+["'`]?[\w.@-]+["'`]?\s*(?:/|:|,| with | and | mit | con )\s*["'`]?(?P<value>[^\s"'`,;]+)""")
 _URL = re.compile(r"""[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<user>[^\s:/@"'<>]*):(?P<value>[^\s/"'<>]*?)@(?=[\w\[%$])""")
 _PARAM = re.compile(r"""(?i)[?&;](?P<name>[\w.\-]*(?:key|sig|signature|token|secret|pass(?:word|wd)?|pwd|auth|code|apikey))=(?P<value>[^\s&"'<>#]+)""")
 _HEADER = re.compile(r"""(?i)\b(?:proxy-)?authorization["']?\s*[:=,]\s*["']?\s*(?P<kind>bearer|basic|token|digest|apikey)\s+(?P<value>[^\s"'<>\\(),;]+)""")
 _XHEADER = re.compile(r"""(?i)\b(?P<name>X-[\w\-]*(?:key|token|secret|auth|pass(?:word)?)|api-key|x-auth)["']?\s*[:=]\s*["']?(?P<value>[^\s"'<>\\]+)""")
-_COMPARE = re.compile(rf"""\b(?:strcmp|strncmp|strcasecmp|memcmp|equals|compare_digest)\s*\(\s*(?:[^()"'\n,]+,\s*(?={_STR})|(?={_STR}\s*,))""")
-_CALL = re.compile(r"""(?i)\b\w*(?:connect|login|logon|authenticate|auth|set_?credentials|signin|sign_in|open_session|basic_auth)\w*\s*\((?P<args>[^;{}\n]*)""")
+_COMPARE = re.compile(rf"""\b(?:{'|'.join(_COMPARES)})\s*\(\s*(?:[^()"'\n,]+,\s*(?={_STR})|(?={_STR}\s*,))""")
+_CALL = re.compile(rf"""(?i)\b\w*(?:{'|'.join(_LOGINS)})\w*\s*\((?P<args>[^;{{}}\n]*)""")
+_LOGS_IN, _SPEAKS_OF_ACCOUNT = re.compile("|".join(_LOGINS)), re.compile("|".join(_ACCOUNTS))
 _ARRAY = re.compile(r"""(?P<name>[A-Za-z_]\w*)\s*\[[^\]\n]*\]\s*=\s*(?:\(?\s*)?\{(?P<body>[^{}]*)\}""")
 _BYTES = re.compile(r"0[xX][0-9A-Fa-f]{1,2}\b|\b\d{1,3}\b|'(?:[^'\\\n]|\\.)'")
 _PYBYTES = re.compile(r"""(?P<name>[A-Za-z_]\w*)\s*[:=]\s*(?:bytes|bytearray)\s*\(\s*\[(?P<body>[^\[\]]*)\]""")
@@ -201,7 +206,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
             v = m["value"]
             if v and not _PLACE.match(v) and "%s" not in v and not re.search(r"\$\{|\{\w*\}", v):
                 f.add(m.start("value"), m.end("value"))
-    if "?" in line or "&" in line:
+    if "=" in line and ("?" in line or "&" in line or ";" in line):
         _values(f, _PARAM, text, a, b, FAR)
     if "authorization" in line:
         for m in _HEADER.finditer(text, a, b):
@@ -242,7 +247,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
                 v = lit[0].strip("\"'") if lit else ""
                 if len(re.findall(r"\d", v)) >= 2 and _classes(v) >= 2 or _classes(v) >= 3:
                     f.literal(m.end(), 3, False)
-        if "(" in line and re.search("connect|login|logon|auth|cred|sign", line):
+        if "(" in line and _LOGS_IN.search(line):
             for m in _CALL.finditer(text, a, b):
                 lits = list(_ADJACENT.finditer(text, m.start("args"), m.end("args")))
                 if len(lits) >= 2 and (re.search(r"\d", lits[-1][0]) or _mixed(lits[-1][0].strip("\"'"))):
@@ -269,7 +274,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
         v = m["value"].rstrip(".)")
         if (not re.fullmatch(r"[A-Za-z-]+", v) or _mixed(v)) and "(" not in v and plausible(v, NEAR, True):
             f.add(m.start("value"), m.start("value") + len(v))
-    if "login" in line or "user" in line or "account" in line:
+    if _SPEAKS_OF_ACCOUNT.search(line):
         for m in _LOGIN.finditer(text, a, b):
             v = m["value"].rstrip(".)")
             if (re.search(r"\d", v) or _mixed(v)) and "(" not in v and plausible(v, NEAR, True):
