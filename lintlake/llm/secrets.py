@@ -48,6 +48,8 @@ _UUID = re.compile(r"^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$", re.I)
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|sk_live_[A-Za-z0-9]{16,}|xox[bapr]-[A-Za-z0-9-]{16,}|AIza[\w-]{35}|glpat-[\w-]{20})(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What follows an opening mark without END: lines of base64 and headers of the block, in quotes, comments or escapes.
+_PEM_RUN = re.compile(r"""(?:(?:[ \t]|\\[nrt]|["'\\,+#*/;]|\r?\n)*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n"\\]*|[A-Za-z0-9+/]{16,}+={0,2}(?![\w(.\-])|[A-Za-z0-9+/]++={1,2}(?=\W|\Z)|(?=[a-z]*[A-Z0-9+/])[A-Za-z0-9+/]{1,63}(?=["'\\ \t,;]*(?:\r?\n|\Z))))*""")
 _STR = r"""(?:(?:\b[bBrRuULf]{1,2}|u8)?(?:"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'))"""
 _ADJACENT = re.compile(rf"(?:{_STR})(?:(?:[ \t]*\\?\n)?[ \t]*{_STR})*")
 _PIECE = re.compile(r"""["']((?:[^"'\\\n]|\\[\s\S]|(?<=\w)'(?=\w))*)["']""")
@@ -71,6 +73,7 @@ _LOGS_IN, _SPEAKS_OF_ACCOUNT = re.compile("|".join(_LOGINS)), re.compile("|".joi
 _ARRAY = re.compile(r"""(?P<name>[A-Za-z_]\w*)\s*\[[^\]\n]*\]\s*=\s*(?:\(?\s*)?\{(?P<body>[^{}]*)\}""")
 _BYTES = re.compile(r"0[xX][0-9A-Fa-f]{1,2}\b|\b\d{1,3}\b|'(?:[^'\\\n]|\\.)'")
 _PYBYTES = re.compile(r"""(?P<name>[A-Za-z_]\w*)\s*[:=]\s*(?:bytes|bytearray)\s*\(\s*\[(?P<body>[^\[\]]*)\]""")
+_ARRAY_NAME, _PYBYTES_NAME = re.compile(r"[A-Za-z_]\w*(?=\s*\[)"), re.compile(r"[A-Za-z_]\w*(?=\s*[:=]\s*(?:bytes|bytearray)\s*\()")
 _STRUCT = re.compile(r"struct\b[^{};]*\{(?P<fields>[^{}]*)\}[^={};]*=\s*\{(?P<values>[^{}]*)\}")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
@@ -167,6 +170,14 @@ class _Finder:
         return True
 
 
+def _pem(text: str, at: int) -> tuple[bool, int]:
+    """Whether a key block whose opening mark ends here has its END mark, and where its body ends: there, at the next BEGIN, or where the lines of base64 end."""
+    end, begin = _PEM_END.search(text, at), text.find("-----BEGIN", at)
+    if end and not 0 <= begin < end.start():
+        return True, end.start()
+    return False, _PEM_RUN.match(text, at, begin if begin >= 0 else len(text)).end()
+
+
 def _line(text: str, at: int) -> tuple[int, int]:
     a = text.rfind("\n", 0, at) + 1
     b = text.find("\n", at)
@@ -192,12 +203,14 @@ def find(text: str) -> list[tuple[int, int]]:
 def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
     """Looks at one line, text[a:b]; line is the same in lower case."""
     if "private key" in line:
+        blocks = 0
         for m in _PEM.finditer(text, a, b):
-            end = _PEM_END.search(text, m.end())
-            body = text[m.end() : end.start() if end else m.end() + 400]
-            if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and "BEGIN" not in body:
-                f.add(m.start(), end.end() if end else min(len(text), m.end() + 400))
-                return
+            closed, end = _pem(text, m.end())
+            if len(re.sub(r"[^A-Za-z0-9+/=]", "", text[m.end() : end])) >= 40:
+                f.add(m.start(), _PEM_END.match(text, end).end() if closed else end)
+                blocks += 1
+        if blocks:
+            return
     for m in _KNOWN.finditer(text, a, b):
         if "EXAMPLE" not in m[0]:
             f.add(m.start(), m.end())
@@ -223,7 +236,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
     if "x-" in line or "api-key" in line:
         _values(f, _XHEADER, text, a, b, FAR)
     quoted = '"' in line or "'" in line
-    if "struct" in line and (struct := _STRUCT.search(text, a, min(len(text), b + 300))):
+    if "struct" in line and (struct := next((x for m in re.finditer(r"struct\b", text[a:b]) if (x := _STRUCT.match(text, a + m.start()))), None)):
         names = re.findall(r"[\s*](\w+)\s*(?=[,;])", struct["fields"])
         values = [m.start() for m in _ADJACENT.finditer(text, struct.start("values"), struct.end("values"))]
         for name, at in zip(names, values, strict=False):
@@ -253,11 +266,9 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
                 if len(lits) >= 2 and (re.search(r"\d", lits[-1][0]) or _mixed(lits[-1][0].strip("\"'"))):
                     f.literal(lits[-1].start(), 3, False)
     if "[" in line:
-        for pattern in (_ARRAY, _PYBYTES):
-            for m in pattern.finditer(text, a, min(len(text), b + 4000)):
-                if m.start() >= b:
-                    break
-                if speaks(m["name"]):
+        for pattern, name in ((_ARRAY, _ARRAY_NAME), (_PYBYTES, _PYBYTES_NAME)):
+            for n in name.finditer(text, a, b):
+                if speaks(n[0]) and (m := pattern.match(text, n.start())):
                     items = list(_BYTES.finditer(text, m.start("body"), m.end("body")))
                     if len(items) >= 8 and len({x[0] for x in items}) >= 4:
                         f.add(items[0].start(), items[-1].end())

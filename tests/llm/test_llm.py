@@ -359,6 +359,23 @@ def test_each_detector_alone(s):
     assert secrets.find(s)
 
 
+def test_long_credentials():
+    rng = random.Random(3)
+    items = ", ".join(f"0x{rng.randrange(256):02x}" for _ in range(1200))
+    for s in (f"static const uint8_t rsa_private_key[] = {{\n{items}\n}};\nint x;\n", f"rsa_private_key = bytes([\n{items}\n])\nx = 1\n"):
+        spans = secrets.find(s)
+        assert len(spans) == 1 and s[slice(*spans[0])] == items
+    body = "\n".join("".join(rng.choices("ABCDEFabcdef0123456789+/", k=64)) for _ in range(25))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----\n"
+    for s, n in ((head + body, 1), (head + body + "\nThis text stays.\n", 1), (head + body + "\n" + head + body + end, 2), (head + body + end + head + body + end, 2)):
+        spans, masked = secrets.find(s), secrets.mask(s, secrets.find(s))
+        assert [a for a, _ in spans] == [m.start() for m in re.finditer("-----BEGIN", s)] and len(spans) == n
+        assert not any(line in masked for line in body.split("\n")) and len(masked) == len(s)
+        assert masked.endswith("\nThis text stays.\n") or "stays" not in s
+    # neither is looked for again and again
+    assert secrets.find("int token[3]; struct pass {\n" * 20_000) == []
+
+
 def test_masked_c_still_parses():
     s = 'static const char *k_api_key = "8f3kQ9zLmN2p" "Xr7TvB4w";\nstatic const uint8_t aes_key[] = { 0xf6, 0xf5, 0x5b, 0x2e, 0xa5, 0x06, 0x0d, 0x54 };\nint f(const char *in) { return strcmp(in, "walrus_harbour45ej") == 0; }\n'
     spans = secrets.find(s)
