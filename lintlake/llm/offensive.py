@@ -44,7 +44,6 @@ IDENTITY = """women woman men man girls boys immigrants immigrant foreigners for
 hindus buddhists atheists blacks whites asians africans arabs mexicans germans frenchmen americans chinese indians turks russians gays gay lesbians
 trans queer disabled blind deaf old elderly elders seniors pensioners young teenagers folks islanders southerners northerners foreigners veterans
 frauen männer ausländer flüchtlinge juden muslime christen mujeres hombres extranjeros inmigrantes musulmanes judíos 女人 男人 外地人 外国人 老人""".split()
-_GROUP = re.compile(r"\b(?:people from \w+|\w+ believers|(?:" + "|".join(sorted({x for x in IDENTITY if x.isascii()}, key=len, reverse=True)) + r")|\w{3,}(?:ians|rans|rians|ians|vians|ishmen|ites))\b")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _LEAD = re.compile(r"^\s*(?:\[\d{1,2}:\d{2}(?::\d{2})?\]\s*\w+:\s*|(?:[\w./\\-]+\.\w+:\d+:\s*)|>+\s*|[-*•]\s+|\d+[.)]\s+|#+\s*)+")
 _HIDDEN = re.compile("[​-‏‪-‮⁠-⁤﻿­︀-️]")
@@ -81,6 +80,15 @@ def plain(sentence: str) -> str:
     return re.sub(r"([^\W\d_])\1+", r"\1", re.sub(r"\d+", "Ⓝ", t))  # letters drawn out or doubled count once
 
 
+#: The same terms as they stand in forms.
+_NAMES = list(dict.fromkeys(plain(x) for x in IDENTITY))
+_CJK = re.compile("[㐀-鿿]")
+_GROUP = re.compile(
+    r"\b(?:people from \w+|\w+ believers|(?:" + "|".join(sorted((x for x in _NAMES if not _CJK.search(x)), key=len, reverse=True)) + r")|\w{3,}(?:ians|rans|rians|ians|vians|ishmen|ites))\b|"
+    + "|".join(sorted((x for x in _NAMES if _CJK.search(x)), key=len, reverse=True))
+)
+
+
 def spans(form: str) -> list[str]:
     """The form in pieces of SPAN[0] words, so that a long sentence does not outweigh an offence within it."""
     if len(form) < 40:
@@ -135,8 +143,8 @@ class _Matrix:
 
 def swapped(form: str, k: int) -> str | None:
     """The form with its group exchanged for another one."""
-    names = [x for x in IDENTITY if x.isascii()]
-    out = _GROUP.sub(lambda m: names[(hash_of(m[0]) + k) % len(names)], form)
+    alike = {cjk: [x for x in _NAMES if bool(_CJK.search(x)) == cjk] for cjk in (False, True)}
+    out = _GROUP.sub(lambda m: (names := alike[bool(_CJK.search(m[0]))])[(hash_of(m[0]) + k) % len(names)], form)
     return out if out != form else None
 
 

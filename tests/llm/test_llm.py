@@ -443,6 +443,12 @@ def test_disguises():
     assert "idiot" in offensive.plain("an 1d10t") and offensive.plain("`kill_child` 42") == " Ⓠ  Ⓝ"
 
 
+def test_every_identity_term_is_swapped():
+    for term in offensive.IDENTITY:
+        form = offensive.plain(f"all {term} are late" if term.isascii() or not re.search("[一-鿿]", term) else f"这些{term}来晚了")
+        assert any(offensive.swapped(form, k) for k in (1, 2)), term
+
+
 def test_offensive(spark):
     rng = random.Random(3)
     clean = ["Kill the child process first.", "This hack is ugly, but it saves memory.", "The words idiot and nude are blocked in titles.", "Please split the patch."]
