@@ -425,15 +425,47 @@ def test_leaks_against_brute_force(spark):
 
     want = {(d, i) for d, t, _ in docs if d is not None and t for i, q, _ in items if i is not None and q and runs(t) & runs(q)}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string, suite string")
-    for size in (10**6, 50):
+    def longest_run(a, b):
+        a, b = ([w for w in re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in s))] for s in (a, b))
+        best, row = (0, 0, 0), [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max([best, *((n, -(i - n + 1), -(j - n)) for j, n in enumerate(row) if n)])
+        return best[0], -best[1], -best[2]
+
+    text, item = {d: t for d, t, _ in docs}, {i: q for i, q, _ in items}
+    for size in (10**6, 500):
         got = leakage.leaks(dd, ii, run=6, items_bytes=size)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        rows = got.collect()
+        assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
+        for r in rows:
+            if r.doc_id < 100:
+                assert (r.run_words, r.doc_word, r.item_word) == longest_run(text[r.doc_id], item[r.item_id])
     longest = leakage.leaks(dd, ii, run=6).where("doc_id = 100 AND item_id = 0").agg(F.max("run_words")).collect()[0][0]
     assert longest == len(re.findall("[A-Za-z0-9]+", items[0][1]))
     assert leakage.without_leaks(dd, got).where("doc_id = 100").count() == 0
     assert leakage.leaks(dd, ii.where("false")).count() == 0 == leakage.leaks(dd.where("false"), ii).count()
 
 
+def test_leaks_of_boilerplate_in_chunks(monkeypatch):
+    """300,000 equal words against items of 200 equal words: 57 million hits, of which a few thousand begin a run."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(leakage, "CHUNK", 100_000)
+    texts = pa.array(["same " * 300_000, "other " + "same " * 50 + "end"])
+    array = leakage.shard(np.asarray([1, 2]), texts, 12)
+    doc, item, length, d, q = leakage.search(array, np.asarray([7, 8]), pa.array(["same " * 200, "no match here"]), 12)
+    assert list(zip(doc, item, length, d, q, strict=True)) == [(1, 7, 200, 0, 0), (2, 7, 50, 1, 0)]
+
+
+def test_a_word_travels_without_its_positions(spark):
+    """Half of all pre-tokens are one word; what is shuffled for it does not grow with how often it stands."""
+    docs = spark.createDataFrame([(i, " the" * 2_000 + f" w{i}" * 2_000) for i in range(40)], "doc_id long, text string")
+    rows = docs.repartition(1).mapInArrow(tokenize._words, "block long, word string, at binary").where("word IS NOT NULL")
+    assert rows.where("word = ' the'").select(F.max(F.length("at"))).first()[0] == 8 and rows.where("word = ' the'").count() == 1
+    assert {tuple(r.ids[:2_000]) for r in tokenize.encode_corpus(docs).collect()} == {(262,) * 2_000}
+
+
 # 8
 
 
