@@ -41,6 +41,14 @@ PART = 2_000
 FILTER = (1 << 14, 1 << 22)
 #: Pairs that a task looks at together.
 CHUNK = 1_000_000
+#: Bytes of boxes that one task and one bucket get on average, and bytes of a box.
+TASK_BYTES, BUCKET_BYTES, BOX = 16_000_000, 4_000_000, 21
+#: Texts by which a counter of all triples has to stand out.
+BLUR = 1_000
+#: Counters that are summed in one place at a time, and their pieces.
+FAN, PIECES = 64, 64
+#: Marks of a box that stands for two blocks of sets that meet: that it does, and which of the two the set is in.
+_CROSS, _SIDE = 1 << 30, 1 << 31
 
 
 class Sets:
@@ -68,41 +76,64 @@ class Sets:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the triples that occur in several texts of a window; those of one text only would blur the counters."""
-    counts, held, n = np.zeros(COUNTERS, np.int64), [], 0
+    """Counts of all triples, and of those alone that occur in several texts of a window: the latter are not blurred by rare ones."""
+    from pyspark import TaskContext
+
+    again, every, held, n, texts = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64), [], 0, 0
 
     def close() -> None:
         items, many = np.unique(np.concatenate(held), return_counts=True)
-        again = many > 1
-        np.add.at(counts, (items[again] & np.uint64(COUNTERS - 1)).astype(np.int64), many[again])
+        at = (items & np.uint64(COUNTERS - 1)).astype(np.int64)
+        every[:] += np.bincount(at, many, COUNTERS).astype(np.int64)
+        np.add.at(again, at[many > 1], many[many > 1])
         held.clear()
 
     for batch in batches:
         for b in blocks(batch, "text"):
-            held.append(Sets(b.column("text")).items)
+            s = Sets(b.column("text"))
+            held.append(s.items)
             n += len(held[-1])
+            texts += int((s.size > 0).sum())
             if n > WINDOW:
                 close()
                 n = 0
     if held:
         close()
-    parts = counts.astype(np.int32).reshape(64, -1)
-    yield pa.record_batch({"part": pa.array(range(64), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+    parts = np.stack([again, every]).reshape(2, PIECES, -1)
+    task = TaskContext.get().partitionId()
+    yield pa.record_batch({"part": pa.array(range(PIECES), pa.int32()), "task": pa.array([task] * PIECES, pa.int64()), "texts": pa.array([texts] * PIECES, pa.int64()), "counts": pa.array([parts[:, i].tobytes() for i in range(PIECES)], pa.binary())})
+
+
+def _add(t: pa.Table) -> pa.Table:
+    total = np.zeros(2 * COUNTERS // PIECES, np.int64)
+    for c in t.column("counts"):
+        total += np.frombuffer(c.as_buffer(), np.int64)
+    return pa.table({"part": t.column("part")[:1], "task": t.column("task")[:1], "texts": pa.array([sum(t.column("texts").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _sum(t: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // 64, np.int64)
-    for c in t.column("counts").to_pylist():
-        total += np.frombuffer(c, np.int32)
-    classes = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-    return pa.table({"part": t.column("part")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part, texts, counts in zip(b.column("part").to_pylist(), b.column("texts").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            again, every = np.frombuffer(counts, np.int64).reshape(2, -1)
+            # what stands far out of the blur is hot, though it may never repeat within a window
+            total = np.maximum(again, every - 2 * every.mean() - BLUR)
+            classes = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "texts": pa.array([texts], pa.int64()), "items": pa.array([int(every.sum())], pa.int64()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
-def frequency_order(texts: DataFrame) -> np.ndarray:
-    """A class of frequency for each of COUNTERS hash values: 4 MB whatever the number of texts."""
-    rows = texts.mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, classes binary").collect()
+def frequency_order(texts: DataFrame) -> tuple[np.ndarray, int, int]:
+    """A class of frequency for each of COUNTERS hash values (4 MB whatever the number of texts), the texts with triples, and their triples.
+
+    The counters of the tasks are added up FAN at a time, so that no place gets those of all tasks.
+    """
+    kind = "part int, task long, texts long, counts binary"
+    counts, tasks = texts.mapInArrow(_count, kind), texts.rdd.getNumPartitions()
+    while tasks > 1:
+        counts = counts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("part", "task").applyInArrow(_add, kind)
+        tasks = math.ceil(tasks / FAN)
+    rows = counts.mapInArrow(_classes, "part int, texts long, items long, classes binary").collect()
     parts = {r.part: np.frombuffer(r.classes, np.uint8) for r in rows}
-    return np.concatenate([parts.get(i, np.zeros(COUNTERS // 64, np.uint8)) for i in range(64)])
+    return np.concatenate([parts.get(i, np.zeros(COUNTERS // PIECES, np.uint8)) for i in range(PIECES)]), max((r.texts for r in rows), default=0), sum(r.items for r in rows)
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -147,13 +178,14 @@ def _split(item: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray,
     other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
     own = np.repeat(own, n)
     met = mix(item[at] + (np.minimum(own, other) * 65_536 + np.maximum(own, other) + 1).astype(np.uint64))
+    marked = pos[at] + np.where(own != other, _CROSS, 0) + np.where(own > other, _SIDE, 0)
     cold = np.flatnonzero(expected <= HOT)
-    return np.concatenate([item[cold], met]), np.concatenate([doc[cold], doc[at]]), np.concatenate([pos[cold], pos[at]])
+    return np.concatenate([item[cold], met]), np.concatenate([doc[cold], doc[at]]), np.concatenate([pos[cold], marked])
 
 
 def _candidates(t: float):
-    def run(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x, np.uint8).reshape(21, -1) for x in table.column("boxes").to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = [np.frombuffer(x, np.uint8).reshape(BOX, -1) for b in batches for x in b.column("boxes").to_pylist()]
         m = np.concatenate(raw, axis=1)
         item = np.ascontiguousarray(np.concatenate([m[:5], np.zeros((3, m.shape[1]), np.uint8)]).T).view(np.uint64).ravel()
         key, size, pos = (np.ascontiguousarray(m[a:b].T).view(k).ravel() for a, b, k in ((5, 13, np.int64), (13, 17, np.uint32), (17, 21, np.uint32)))
@@ -165,6 +197,7 @@ def _candidates(t: float):
         once = np.ones(len(item), bool)
         once[1:] = (item[1:] != item[:-1]) | (key[1:] != key[:-1])
         item, key, size, pos = item[once], key[once], size[once], pos[once]
+        side, pos = pos & (_CROSS | _SIDE), pos & (_CROSS - 1)
         # of each box those that follow in the same list, as far as the sizes allow
         end = np.searchsorted(item, item, "right")
         if len(item):
@@ -179,7 +212,6 @@ def _candidates(t: float):
             end = lo
         follow = np.maximum(end - np.arange(len(item)) - 1, 0)
         done = np.concatenate([[0], np.cumsum(follow)])
-        pairs = []
         i = 0
         while i < len(item):
             j = max(i + 1, int(np.searchsorted(done, done[i] + CHUNK, "right")) - 1)
@@ -189,12 +221,12 @@ def _candidates(t: float):
             need = _ceil(t / (1 + t) * (size[a] + size[b]))
             # the r-th common box leaves room for the rest of the overlap, for each r up to CHAIN
             ok = (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need - (CHAIN - 1)) & (key[a] != key[b])
+            ok &= (side[a] < _CROSS) | (side[a] != side[b])  # sets of one block meet in that block's own box
             x, y = key[a[ok]], key[b[ok]]
             if len(x):
-                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(need[ok], CHAIN)], axis=1))
+                p, n = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(need[ok], CHAIN)], axis=1), axis=0, return_counts=True)
+                yield pa.record_batch({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64()), "least": pa.array(p[:, 2], pa.int64()), "n": pa.array(n, pa.int64())})
             i = j
-        p, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if pairs else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64()), "least": pa.array(p[:, 2], pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
@@ -275,9 +307,13 @@ def similar(files: DataFrame, id_col: str = "id", text_col: str = "source_text",
     """
     spark = files.sparkSession
     texts = files.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    order = spark.sparkContext.broadcast(frequency_order(texts.select("text")))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    boxes = texts.select("text").mapInArrow(_boxes(order, buckets, t), "bucket int, boxes binary")
+    classes_, n, items = frequency_order(texts.select("text"))
+    order = spark.sparkContext.broadcast(classes_)
+    # buckets and tasks grow with the boxes, so that what one of them gets does not
+    size = BOX * ((1 - t) * items + CHAIN * n)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    buckets = max(4 * tasks, math.ceil(size / BUCKET_BYTES))
+    boxes = texts.select("text").mapInArrow(_boxes(order, buckets, t), "bucket int, boxes binary").repartition(tasks, "bucket")
     met = boxes.groupBy("bucket").applyInArrow(_candidates(t), "a long, b long, least long, n long")
     candidates = reliable(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"))
     bits = spark.sparkContext.broadcast(_needed(candidates))
