@@ -42,7 +42,7 @@ FILTER = (1 << 14, 1 << 22)
 #: Pairs that a task looks at together.
 CHUNK = 1_000_000
 #: Bytes of boxes that one task and one bucket get on average, and bytes of a box.
-TASK_BYTES, BUCKET_BYTES, BOX = 16_000_000, 4_000_000, 21
+TASK_BYTES, BUCKET_BYTES, BOX = 16_000_000, 1_000_000, 21
 #: Texts by which a counter of all triples has to stand out.
 BLUR = 1_000
 #: Counters that are summed in one place at a time, and their pieces.
@@ -79,13 +79,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all triples, and of those alone that occur in several texts of a window: the latter are not blurred by rare ones."""
     from pyspark import TaskContext
 
-    again, every, held, n, texts = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64), [], 0, 0
+    again, every, held, n, texts = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, np.int32), [], 0, 0
 
     def close() -> None:
         items, many = np.unique(np.concatenate(held), return_counts=True)
         at = (items & np.uint64(COUNTERS - 1)).astype(np.int64)
-        every[:] += np.bincount(at, many, COUNTERS).astype(np.int64)
-        np.add.at(again, at[many > 1], many[many > 1])
+        np.add.at(every, at, many.astype(np.int32))
+        np.add.at(again, at[many > 1], many[many > 1].astype(np.int32))
         held.clear()
 
     for batch in batches:
@@ -99,22 +99,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = 0
     if held:
         close()
-    parts = np.stack([again, every]).reshape(2, PIECES, -1)
-    task = TaskContext.get().partitionId()
-    yield pa.record_batch({"part": pa.array(range(PIECES), pa.int32()), "task": pa.array([task] * PIECES, pa.int64()), "texts": pa.array([texts] * PIECES, pa.int64()), "counts": pa.array([parts[:, i].tobytes() for i in range(PIECES)], pa.binary())})
+    task, width = TaskContext.get().partitionId(), COUNTERS // PIECES
+    for i in range(PIECES):
+        counts = again[i * width : (i + 1) * width].tobytes() + every[i * width : (i + 1) * width].tobytes()
+        yield pa.record_batch({"part": pa.array([i], pa.int32()), "task": pa.array([task], pa.int64()), "texts": pa.array([texts], pa.int64()), "wide": pa.array([False]), "counts": pa.array([counts], pa.binary())})
 
 
 def _add(t: pa.Table) -> pa.Table:
     total = np.zeros(2 * COUNTERS // PIECES, np.int64)
-    for c in t.column("counts"):
-        total += np.frombuffer(c.as_buffer(), np.int64)
-    return pa.table({"part": t.column("part")[:1], "task": t.column("task")[:1], "texts": pa.array([sum(t.column("texts").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    for wide, c in zip(t.column("wide").to_pylist(), t.column("counts"), strict=True):
+        total += np.frombuffer(c.as_buffer(), np.int64 if wide else np.int32)
+    return pa.table({"part": t.column("part")[:1], "task": t.column("task")[:1], "texts": pa.array([sum(t.column("texts").to_pylist())], pa.int64()), "wide": pa.array([True]), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for part, texts, counts in zip(b.column("part").to_pylist(), b.column("texts").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            again, every = np.frombuffer(counts, np.int64).reshape(2, -1)
+        for part, texts, wide, counts in zip(*(b.column(c).to_pylist() for c in ("part", "texts", "wide", "counts")), strict=True):
+            again, every = np.frombuffer(counts, np.int64 if wide else np.int32).reshape(2, -1)
             # what stands far out of the blur is hot, though it may never repeat within a window
             total = np.maximum(again, every - 2 * every.mean() - BLUR)
             classes = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
@@ -126,7 +127,7 @@ def frequency_order(texts: DataFrame) -> tuple[np.ndarray, int, int]:
 
     The counters of the tasks are added up FAN at a time, so that no place gets those of all tasks.
     """
-    kind = "part int, task long, texts long, counts binary"
+    kind = "part int, task long, texts long, wide boolean, counts binary"
     counts, tasks = texts.mapInArrow(_count, kind), texts.rdd.getNumPartitions()
     while tasks > 1:
         counts = counts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("part", "task").applyInArrow(_add, kind)
@@ -312,7 +313,7 @@ def similar(files: DataFrame, id_col: str = "id", text_col: str = "source_text",
     # buckets and tasks grow with the boxes, so that what one of them gets does not
     size = BOX * ((1 - t) * items + CHAIN * n)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
-    buckets = max(4 * tasks, math.ceil(size / BUCKET_BYTES))
+    buckets = max(16 * tasks, math.ceil(size / BUCKET_BYTES))
     boxes = texts.select("text").mapInArrow(_boxes(order, buckets, t), "bucket int, boxes binary").repartition(tasks, "bucket")
     met = boxes.groupBy("bucket").applyInArrow(_candidates(t), "a long, b long, least long, n long")
     candidates = reliable(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"))
