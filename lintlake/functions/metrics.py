@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def sample(text: Column, *names: str) -> Column:
-    """The first plain decimal sample of the first of these names that has one."""
+    """The first plain decimal sample of the first of these names that has one (the form of a sample line is a fixed value)."""
     hits = [F.regexp_extract(text, rf"(?m)^{n}(?:\{{[^}}]*\}})?\s+([-+]?\d+(?:\.\d+)?)$", 1).try_cast("double") for n in names]
     return F.coalesce(*hits)
 
@@ -20,9 +20,9 @@ def number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def rates(samples: DataFrame, group: str, time: str, counter: str) -> DataFrame:
-    """Adds `rate`: the growth of the counter a second since the sample before, never negative."""
-    w = Window.partitionBy(group).orderBy(time)
+def rates(samples: DataFrame, group: str, time: str, counter: str, *ties: str) -> DataFrame:
+    """Adds `rate`: the growth of the counter a second since the sample before, never negative; `ties` order samples of one time."""
+    w = Window.partitionBy(group).orderBy(time, *ties)
     seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
     grown = F.round((F.col(counter) - F.lag(counter).over(w)) / F.greatest(seconds, F.lit(0.001)), 2)
     return samples.withColumn("rate", F.when(grown.isNotNull(), F.greatest(F.lit(0.0), grown)))  # the first sample has none
@@ -60,3 +60,46 @@ def gpus(lines: DataFrame, column: str) -> DataFrame:
     n = lambda i: F.get("p", F.lit(i)).try_cast("double")
     share = F.when(n(4) > 0, F.round(100.0 * n(3) / n(4), 2))
     return df.select(n(0).cast("int").alias("index"), F.get("p", F.lit(1)).alias("name"), n(2).alias("utilization_percent"), n(3).alias("memory_used_mb"), n(4).alias("memory_total_mb"), share.alias("memory_percent"), n(5).alias("temperature_c"), n(6).alias("power_w"))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds from start to end, never negative; null where one of them is missing."""
+    us = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.when(us.isNotNull(), F.greatest(F.lit(0), F.floor(us / 1000).cast("long")))
+
+
+def window_minutes(samples: DataFrame, group: str, time: str) -> DataFrame:
+    """(group, minutes): whole minutes from the first to the last sample, half a minute rounded up."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    return samples.groupBy(group).agg(F.greatest(F.lit(0), F.floor((F.max(at) - F.min(at)) / 60_000_000 + 0.5).cast("long")).alias("minutes"))
+
+
+def node_rows(scrapes: DataFrame) -> DataFrame:
+    """One runtime row for each node from scrapes(node_id, display_name, base_url, captured_at, body, error).
+
+    The newest scrape of a node tells; where it has no throughput of its own, the growth of the token counter since the scrape
+    before gives it.  A failed scrape gives a row without values and the first 300 characters of the error.
+    """
+    w = Window.partitionBy("node_id").orderBy("captured_at", F.xxhash64("body", "error"))
+    body, before = F.col("body"), F.lag("body").over(w)
+    seconds = (F.unix_micros(F.col("captured_at").cast("timestamp")) - F.unix_micros(F.lag("captured_at").over(w).cast("timestamp"))) / 1e6
+    last = F.row_number().over(Window.partitionBy("node_id").orderBy(F.col("captured_at").desc(), F.xxhash64("body", "error").desc()))
+    narrow = scrapes.select("node_id", "display_name", "base_url", "captured_at", "body", "error").withColumn("before", before).withColumn("seconds", F.greatest(seconds, F.lit(0.001)))
+    newest = narrow.withColumn("_n", last).where("_n = 1")
+
+    def named(text: Column, name: str) -> Column:
+        return sample(text, *[f"vllm{sign}{name}" for sign in (":", "_")])
+
+    def throughput(kind: str) -> Column:
+        grown = F.round((named(body, f"{kind}_tokens_total") - named(F.col("before"), f"{kind}_tokens_total")) / F.col("seconds"), 2)
+        return F.coalesce(named(body, f"avg_{kind}_throughput_toks_per_s"), F.when(grown.isNotNull(), F.greatest(F.lit(0.0), grown))).alias(f"{kind}_throughput_tps")
+
+    ok = F.col("error").isNull() & body.isNotNull()
+    rows = {
+        "prompt_throughput_tps": throughput("prompt"),
+        "generation_throughput_tps": throughput("generation"),
+        "running_requests": named(body, "num_requests_running").cast("int"),
+        "pending_requests": named(body, "num_requests_waiting").cast("int"),
+        "gpu_kv_cache_usage_percent": percentage(named(body, "gpu_cache_usage_perc")),
+    }
+    return newest.select("node_id", "display_name", "base_url", ok.alias("metrics_available"), F.when(~ok, F.left(F.coalesce("error", F.lit("")), F.lit(300))).alias("error"), *[F.when(ok, c).alias(k) for k, c in rows.items()])

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.schemas import CATEGORIES, FINDING, SEVERITIES, SNIPPET_KINDS
 
@@ -162,3 +162,20 @@ def raw_answers(tasks: DataFrame) -> DataFrame:
     """(task_id, entry, content): the raw answers that the logs of tasks hold."""
     entries = tasks.select(F.col("id").alias("task_id"), F.posexplode(F.split("model_log", r"\n\n(?=\[\d{4}-)")).alias("entry", "text"))
     return entries.where(F.col("text").contains("\nRaw model response:\n")).select("task_id", "entry", F.substring_index("text", "\nRaw model response:\n", -1).alias("content"))
+
+
+def check_types(text: Column) -> Column:
+    """(values, error) of a JSON list of strings, by the JVM's own JSON reader; null and anything else is an error."""
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    listed = F.from_json(text, "array<string>")
+    good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(listed, lambda x: x.isNull())
+    error = F.when(value.isNull(), "not JSON").when(~F.coalesce(good, F.lit(False)), "not a list of strings")
+    return F.struct(F.when(error.isNull(), listed).alias("values"), error.alias("error"))
+
+
+def supported(kinds: Column, domain: list[str]) -> Column:
+    """(kinds, verdict, unsupported): the kinds without repeats, in order; `none`, `unsupported` or `ok`, and those that the domain lacks."""
+    odd = F.array_except(kinds, F.array(*[F.lit(k) for k in domain]))
+    verdict = F.when(F.coalesce(F.size(kinds), F.lit(0)) <= 0, "none").when(F.size(odd) > 0, "unsupported").otherwise("ok")
+    return F.struct(F.array_distinct(kinds).alias("kinds"), verdict.alias("verdict"), odd.alias("unsupported"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -83,20 +84,25 @@ def _chunker(most: int):
 def pack(chunks: DataFrame, most: int) -> DataFrame:
     """(task_id, path, chunk, batch): chunks of a task packed in order of path and number, batches from 1.
 
-    A task holds at most a few thousand chunks, so the fold over one task's sizes is a higher-order function on an array.
+    The fold runs along the sorted rows of a partition and keeps two numbers, whatever the chunks of a task are.
     """
-    item = F.struct("path", "chunk", "size")
-    ordered = chunks.groupBy("task_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+    ordered = chunks.select("task_id", "path", "chunk", "size").repartition("task_id").sortWithinPartitions("task_id", "path", "chunk", "size")
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc.batch == 0) | (acc.used + x.size > most)
-        batch = acc.batch + new.cast("int")
-        return F.struct(batch.alias("batch"), F.when(new, x.size).otherwise(acc.used + x.size).alias("used"), F.array_append(acc.out, batch).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, used, number = (), 0, 0
+        for b in batches:
+            out = []
+            for t, size in zip(b.column("task_id").to_pylist(), b.column("size").to_pylist(), strict=True):
+                if (t,) != task:
+                    task, used, number = (t,), 0, 0
+                if number == 0 or used + size > most:
+                    number, used = number + 1, 0
+                used += size
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([b.column("task_id"), b.column("path"), b.column("chunk"), pa.array(out, pa.int32())], ["task_id", "path", "chunk", "batch"])
+
+    return ordered.mapInArrow(run, "task_id string, path string, chunk int, batch int")
 
-    folded = ordered.select("task_id", "items", F.aggregate("items", start, step, lambda a: a.out).alias("batches"))
-    each = folded.select("task_id", F.explode(F.arrays_zip("items", "batches")).alias("z"))
-    return each.select("task_id", "z.items.path", "z.items.chunk", F.col("z.batches").alias("batch"))
 
 
 def truncated(text: Column, limit: int = LOG_LIMIT) -> Column:
@@ -105,14 +111,43 @@ def truncated(text: Column, limit: int = LOG_LIMIT) -> Column:
     return F.when(rest > 0, F.concat(F.substring(text, 1, limit), F.lit("\n... [truncated "), rest.cast("string"), F.lit(" chars]"))).otherwise(text)
 
 
-def tail(text: Column, n: int = 16_000) -> Column:
-    return F.right(text, F.lit(n))
+def appended(log: Column, stamp: Column, entry: Column, limit: int = LOG_LIMIT) -> Column:
+    """The log with a stamped entry after an empty line, cut to its first `limit` characters; the oldest text stays."""
+    new = F.concat(F.lit("["), iso(stamp), F.lit("] "), entry)
+    return truncated(F.when(F.coalesce(log, F.lit("")) == "", new).otherwise(F.concat(log, F.lit("\n\n"), new)), limit)
+
+
+def iso(stamp: Column) -> Column:
+    """ISO 8601 in UTC; a fraction of zero is left out."""
+    whole, fraction = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(stamp, "SSSSSS")
+    return F.concat(whole, F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("+00:00"))
+
+
+def batch_prompt(prompt: Column, note: str, index: Column, count: Column, chunks: Column) -> Column:
+    """The request for one batch: the prompt, a note, the batch's number, and its chunks(path, start_line, end_line) one a line."""
+    one = lambda c: F.concat(F.lit("- "), c.path, F.lit(", lines "), c.start_line.cast("string"), F.lit("-"), c.end_line.cast("string"))
+    head = F.concat(F.lit("Batch "), index.cast("string"), F.lit(" of "), count.cast("string"), F.lit(", containing "), F.size(chunks).cast("string"), F.lit(" source chunk(s):\n"))
+    return F.concat(prompt, F.lit(f"\n\n{note}\n"), head, F.array_join(F.transform(chunks, one), "\n"))
+
+
+def location(path: Column, line: Column, unknown: str = "unknown") -> Column:
+    """path:line, or the path alone where the line is missing or 0."""
+    return F.concat(F.coalesce(path, F.lit(unknown)), F.when(F.coalesce(line, F.lit(0)) != 0, F.concat(F.lit(":"), line.cast("string"))).otherwise(""))
 
 
-def unfenced(text: Column) -> Column:
-    """Without a code fence around it."""
-    t = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    return F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[^\n]*$", "")).otherwise(t)
+def first_filled(*columns: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def labelled(key: Column, labels: dict[str, str]) -> Column:
+    """The label of a key, or the key itself."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, key), key)
+
+
+def tail(text: Column, n: int = 16_000) -> Column:
+    return F.right(text, F.lit(n))
 
 
 def unsafe_path(path: Column, longest: int = 512) -> Column:
@@ -169,32 +204,29 @@ def character_classes(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(p)).alias(k) for k, p in kinds.items()]
 
 
+def _readable(content: bytes, charset: str) -> str | None:
+    try:
+        return content.decode(charset)
+    except UnicodeError:
+        return None
+
+
+def _likeliness(text: str) -> tuple[int, ...]:
+    """How a text of a guessed charset ranks: few zero characters, few marks and letters that only wrong charsets give, few kana, many ideographs (a fixed order)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    within = lambda a, b: int(((points >= a) & (points <= b)).sum())
+    return -within(0, 0), -within(0x300, 0x5FF) - within(0xFFFD, 0xFFFD), -within(0x3040, 0x30FF), within(0x4E00, 0x9FFF)
+
+
 def decoded(content: bytes) -> str:
-    """Text of unknown charset: marks first, then UTF-8, UTF-16 by its zero bytes, then the most likely of a fixed list."""
-    for mark, name in BOMS:
-        if content.startswith(mark):
-            try:
-                return content.decode(name)
-            except UnicodeError:
-                pass
-    guesses = ["utf-8"]
-    if len(content) >= 4:
-        guesses += [n for n, part in (("utf-16-le", content[1::2]), ("utf-16-be", content[0::2])) if part.count(0) > max(2, len(content) // 8)]
-    for name in guesses:
-        try:
-            return content.decode(name)
-        except UnicodeError:
-            pass
-    best = None
-    for name in CHARSETS:
-        try:
-            t = content.decode(name)
-        except UnicodeError:
-            continue
-        score = (-t.count("\0"), -sum("̀" <= c <= "׿" or c == "�" for c in t), -sum("぀" <= c <= "ヿ" for c in t), sum("一" <= c <= "鿿" for c in t))
-        if best is None or score > best[0]:
-            best = (score, t)
-    return best[1]
+    """Text of unknown charset: by its mark, as UTF-8, as UTF-16 where every other byte is often zero, else by the likeliest charset of a fixed list."""
+    marked = [n for mark, n in BOMS if content.startswith(mark)]
+    halves = {"utf-16-le": content[1::2], "utf-16-be": content[::2]} if len(content) >= 4 else {}
+    wide = [n for n, half in halves.items() if half.count(0) > max(2, len(content) // 8)]
+    for charset in (*marked, "utf-8", *wide):
+        if (t := _readable(content, charset)) is not None:
+            return t
+    return max((t for c in CHARSETS if (t := _readable(content, c)) is not None), key=_likeliness)
 
 
 def _decode(content):  # type: ignore[no-untyped-def]
@@ -216,9 +248,13 @@ def escaped(text: Column) -> Column:
 
 
 def readable_bytes(size: Column) -> Column:
-    """B below a kibibyte, then KB and MB with one place."""
-    kb, mb = F.format_string("%.1f KB", size / 1024.0), F.format_string("%.1f MB", size / 1048576.0)
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, kb).otherwise(mb)
+    """B below a kibibyte, then KB, MB, GB and TB with one place, half a tenth rounded up; null as `--`."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        tenths = F.floor(size * 10 / 1024.0**power + 0.5).cast("long")
+        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(size >= 1024**power, shown).otherwise(out)
+    return F.when(size.isNull(), "--").otherwise(out)
 
 
 def readable_duration(ms: Column) -> Column:

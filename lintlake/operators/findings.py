@@ -40,6 +40,28 @@ def merged(parts: DataFrame) -> DataFrame:
     return out.select("task_id", score.alias("score"), "finding_count")
 
 
+def flattened(parts: DataFrame, order: str) -> DataFrame:
+    """(task_id, score, findings) of parts(task_id, score, findings, and the column that orders the parts of a task).
+
+    The findings of all parts are put one after the other in that order, then sorted by severity, path and line; ties keep their order.
+    The score is that of `merged`.
+    """
+    empty = F.array().cast(parts.schema["findings"].dataType)
+    out = parts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("findings", empty).alias("findings")))).alias("parts"))
+    flat = out.select("task_id", F.transform(ranked(F.flatten(F.transform("parts", lambda p: p.findings))), lambda x: x.f).alias("findings"))
+    return merged(parts).select("task_id", "score").join(flat, "task_id")
+
+
+def page(findings: Column, severity: Column, number: Column, size: int = 15) -> Column:
+    """One page, from 1, of the findings of one severity."""
+    return F.slice(F.filter(findings, lambda f: f.severity == severity), (number - 1) * size + 1, F.lit(size))
+
+
+def first_where(items: Column, test) -> Column:
+    """The first item that passes, or null."""
+    return F.get(F.filter(items, test), F.lit(0))
+
+
 def tone(score: Column) -> Column:
     return F.when(score >= 85, "good").when(score >= 60, "warning").otherwise("danger")
 
@@ -54,7 +76,7 @@ def markdown(task_id: Column, name: Column, model: Column, score: Column, summar
     e = lambda c: F.coalesce(c, F.lit(""))
 
     def one(f: Column, i: Column) -> Column:
-        place = F.concat(F.coalesce(f.file_path, F.lit("unknown")), F.when(F.coalesce(f.line, F.lit(0)) != 0, F.concat(F.lit(":"), f.line.cast("string"))).otherwise(""))
+        place = text.location(f.file_path, f.line)
         head = F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". ["), F.upper(e(f.severity)), F.lit("] "), e(f.title), F.lit("\n\n- Category: `"), e(f.category), F.lit("`\n- Location: `"), place, F.lit("`\n\n"))
         return F.concat(head, e(f.description), F.lit("\n\n**Remediation:** "), e(f.remediation), F.lit("\n\n"), _snippet("Problematic code", f.code_snippet), _snippet("Suggested code", f.fixed_snippet))
 

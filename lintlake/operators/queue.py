@@ -23,6 +23,33 @@ def positions(tasks: DataFrame) -> DataFrame:
     return queued.join(before, ["queue_priority", "day"]).select("id", (F.col("before") + within).cast("long").alias("ahead"))
 
 
+def with_positions(tasks: DataFrame) -> DataFrame:
+    """Every task with `ahead`, null unless it is queued."""
+    return tasks.join(positions(tasks), "id", "left")
+
+
+def busy(tasks: DataFrame) -> DataFrame:
+    """One row, `busy`: whether any task is running."""
+    return tasks.where("status = 'running'").limit(1).agg((F.count("*") > 0).alias("busy"))
+
+
+def progress(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, state, current, remaining) of tasks(id, status, progress, input_mode, display_name, file_count) and files(task_id, relative_path, pos).
+
+    A running task is at the file that its progress points to, never beyond the last one; others are at the first.  Texts count
+    as one file.  The files of one task are bounded by the limits of a submission.
+    """
+    of = files.groupBy(F.col("task_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "relative_path"))).alias("files"))
+    t = tasks.join(of, "id", "left")
+    text_mode = F.col("input_mode") == "text"
+    total = F.greatest(F.col("file_count"), F.coalesce(F.size("files"), F.lit(0)), F.when(text_mode, 1).otherwise(0))
+    done = F.when(F.col("status") == "running", F.least(F.floor(F.col("progress") / 100.0 * total), F.greatest(F.lit(0), total - 1))).otherwise(0).cast("int")
+    ended, failed, queued = (F.col("status") == s for s in ("completed", "failed", "queued"))
+    current = F.when(ended, None).when(text_mode, "snippet").otherwise(F.coalesce(F.nullif(F.get("files", done)["relative_path"], F.lit("")), F.col("display_name")))
+    rest = F.when(ended, 0).when(failed, F.greatest(F.lit(0), total - done)).when(queued, total).otherwise(F.greatest(F.lit(0), total - done - 1)).cast("int")
+    return t.select("id", F.when(ended | failed, F.col("status")).when(queued, "pending").otherwise("analyzing").alias("state"), current.alias("current"), rest.alias("remaining"))
+
+
 def head(tasks: DataFrame) -> DataFrame:
     """The queued task that comes first, none while another one is running."""
     running = tasks.where("status = 'running'").select(F.lit(1).alias("busy")).limit(1)

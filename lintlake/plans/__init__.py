@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from lintlake.plans import core, operations  # noqa: F401
+from lintlake.plans import core, operations, platform  # noqa: F401

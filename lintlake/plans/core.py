@@ -8,6 +8,7 @@ from lintlake.functions import responses, text
 from lintlake.operators import dashboard, findings, history, queue, state
 from lintlake.plans.registry import latest_sql as L, query, stamp, stamp_sql
 from lintlake.schemas import CATEGORIES, CHECK_TYPES, SEVERITIES, latest, table
+from lintlake.sources import submissions
 
 #: Columns of tasks without their logs.
 TASK = "owner_id model_node_id input_mode display_name status progress queue_priority file_count finding_count duration_ms check_types created_at".split()
@@ -34,8 +35,9 @@ def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def _history(spark, d, f: history.Filters, sort: str, descending: bool):
     users, nodes = table(spark, d, "users"), table(spark, d, "model_nodes")
+    mine = latest(history.unchanging(table(spark, d, "review_tasks"), f), *TASK)  # these filters reach the scan
     counts = reports(spark, d, *[f"{s}_count" for s in SEVERITIES])
-    return history.ordered(history.filtered(tasks(spark, d), users, counts, f), users, nodes, sort, descending)
+    return history.ordered(history.filtered(mine, users, counts, f), users, nodes, sort, descending)
 
 
 F1 = history.Filters(status="completed", start="2025-06-01 00:00:00", severity="high")
@@ -101,8 +103,34 @@ def admin_tasks_page(spark, d):
 
 @query(f"""SELECT t.id, t.owner_id FROM {L("review_tasks")} t WHERE t.owner_id = (SELECT min(id) FROM users WHERE lower(role) <> 'admin')""")
 def visible_tasks_rls(spark, d):
-    me = table(spark, d, "users").where("lower(role) <> 'admin'").agg(F.min("id").alias("me"))  # one row
-    return tasks(spark, d).join(F.broadcast(me), F.col("owner_id") == F.col("me"), "left_semi").select("id", "owner_id")
+    me = table(spark, d, "users").where("lower(role) <> 'admin'").agg(F.min_by(F.struct("id", "role"), "id").alias("x")).select("x.*")
+    return history.visible(tasks(spark, d), me).select("id", "owner_id")
+
+
+@query(f"""SELECT id, owner_id FROM {L("review_tasks")} WHERE EXISTS (SELECT 1 FROM users WHERE lower(role) = 'admin')""")
+def visible_tasks_admin(spark, d):
+    me = table(spark, d, "users").where("lower(role) = 'admin'").agg(F.min_by(F.struct("id", "role"), "id").alias("x")).select("x.*")
+    return history.visible(tasks(spark, d), me).select("id", "owner_id")
+
+
+@query(f"""SELECT t.id, {stamp_sql("t.created_at")} AS created_at FROM {L("review_tasks")} t WHERE owner_id = '{{OWNER}}' AND model_node_id IS NOT NULL ORDER BY t.created_at DESC, t.id DESC LIMIT 100""".replace("= '{OWNER}'", "= (SELECT min(owner_id) FROM review_tasks)"))
+def history_of_owner(spark, d):
+    owner = table(spark, d, "review_tasks").agg(F.min("owner_id")).first()[0]  # one value
+    df, order = _history(spark, d, history.Filters(owner_id=owner), "created_at", True)
+    return history.page(df.where("model_node_id IS NOT NULL"), order, 0, 100).select("id", stamp("created_at"))
+
+
+@query(f"""SELECT id, file_count FROM {L("review_tasks")} WHERE model_node_id = (SELECT max(model_node_id) FROM review_tasks) ORDER BY file_count ASC NULLS FIRST, id DESC LIMIT 60""")
+def history_of_node(spark, d):
+    node = table(spark, d, "review_tasks").agg(F.max("model_node_id")).first()[0]  # one value
+    df, order = _history(spark, d, history.Filters(model_node_id=node), "file_count", False)
+    return history.page(df, order, 0, 60).select("id", "file_count")
+
+
+@query("""SELECT id, display_name, (row_number() OVER (ORDER BY is_default DESC, created_at ASC, id))::INT AS place FROM model_nodes WHERE is_enabled""")
+def enabled_nodes(spark, d):
+    n = table(spark, d, "model_nodes").where(F.col("is_enabled").eqNullSafe(True))  # ten rows
+    return n.select("id", "display_name", F.row_number().over(Window.orderBy(F.col("is_default").desc(), F.col("created_at").asc(), F.col("id"))).alias("place"))
 
 
 @query(f"""SELECT t.id, r.id AS report_id, r.score FROM {L("review_tasks")} t LEFT JOIN {L("reports")} r ON r.task_id = t.id""")
@@ -207,10 +235,12 @@ def findings_sorted(spark, d):
     return r.select("id", (F.col("at") + 1).alias("n"), "x.f.severity", "x.f.file_path", "x.f.line", "x.f.title")
 
 
-@query(f"""SELECT id, array_to_string([f.title FOR f IN result_json.findings IF f.severity = 'low'][1:15], '|') AS titles FROM {L("reports")} WHERE result_json IS NOT NULL""")
+@query(f"""SELECT r.id, s.severity, p.page::INT AS page, array_to_string([f.title FOR f IN r.result_json.findings IF f.severity = s.severity][p.page * 15 - 14:p.page * 15], '|') AS titles
+FROM {L("reports")} r, (SELECT unnest({SEVERITIES}) AS severity) s, (SELECT unnest([1, 2]) AS page) p WHERE r.result_json IS NOT NULL""")
 def findings_page15(spark, d):
-    low = F.filter(F.arrays_zip("severity", "title"), lambda f: f.severity == "low")
-    return parts(spark, d, severity="findings.severity", title="findings.title").select("id", F.array_join(F.transform(F.slice(low, 1, 15), lambda f: f.title), "|").alias("titles"))
+    each = parts(spark, d, severity="findings.severity", title="findings.title").select("id", F.arrays_zip("severity", "title").alias("f"), F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity"))
+    paged = each.select("id", "severity", "f", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
+    return paged.select("id", "severity", "page", F.array_join(F.transform(findings.page(F.col("f"), F.col("severity"), F.col("page")), lambda f: f.title), "|").alias("titles"))
 
 
 @query(f"SELECT id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'warning' ELSE 'danger' END AS tone FROM {L('reports')}")
@@ -218,14 +248,15 @@ def score_tone(spark, d):
     return reports(spark, d, "score").select("id", "score", findings.tone(F.col("score")).alias("tone"))
 
 
-@query(f"""WITH t AS (SELECT t.id, t.progress, t.status, n.files FROM {L("review_tasks")} t JOIN (SELECT task_id, count(*) AS files FROM {L("review_files")} GROUP BY 1) n ON n.task_id = t.id)
-SELECT id, CASE WHEN status = 'completed' THEN files ELSE least(floor(progress / 100.0 * files)::BIGINT, files - 1) END AS done,
-files - CASE WHEN status = 'completed' THEN files ELSE least(floor(progress / 100.0 * files)::BIGINT, files - 1) END AS remaining FROM t""")
+@query(f"""WITH n AS (SELECT task_id, list(relative_path ORDER BY relative_path, id) AS files FROM {L("review_files")} GROUP BY 1),
+t AS (SELECT t.*, n.files, greatest(t.file_count, coalesce(len(n.files), 0), CASE WHEN input_mode = 'text' THEN 1 ELSE 0 END) AS total FROM {L("review_tasks")} t LEFT JOIN n ON n.task_id = t.id),
+c AS (SELECT *, CASE WHEN status = 'running' THEN least(floor(progress / 100.0 * total)::INT, greatest(0, total - 1)) ELSE 0 END AS done FROM t)
+SELECT id, CASE WHEN status IN ('completed', 'failed') THEN status WHEN status = 'queued' THEN 'pending' ELSE 'analyzing' END AS state,
+CASE WHEN status = 'completed' THEN NULL WHEN input_mode = 'text' THEN 'snippet' ELSE coalesce(nullif(files[done + 1], ''), display_name) END AS current,
+(CASE status WHEN 'completed' THEN 0 WHEN 'failed' THEN greatest(0, total - done) WHEN 'queued' THEN total ELSE greatest(0, total - done - 1) END)::INT AS remaining FROM c""")
 def progress_summary(spark, d):
-    n = files(spark, d).groupBy("task_id").agg(F.count("*").alias("files"))
-    t = tasks(spark, d).select(F.col("id").alias("task_id"), "status", "progress").join(n, "task_id")
-    done = F.when(F.col("status") == "completed", F.col("files")).otherwise(F.least(F.floor(F.col("progress") / 100.0 * F.col("files")), F.col("files") - 1))
-    return t.select(F.col("task_id").alias("id"), done.alias("done"), (F.col("files") - done).alias("remaining"))
+    f = files(spark, d).select("task_id", "relative_path", F.struct("relative_path", "id").alias("pos"))
+    return queue.progress(tasks(spark, d), f)
 
 
 _NL = "chr(10)"
@@ -300,10 +331,11 @@ def running_caps(spark, d):
     return f.withColumn("over", (F.col("files") > 5) | (F.col("bytes") > 8000))
 
 
-@query(f"""SELECT id, task_id, relative_path FROM {L("review_files")} QUALIFY row_number() OVER (PARTITION BY task_id, replace(relative_path, '\\', '/') ORDER BY id) > 1""")
+@query(f"""SELECT id, relative_path FROM {L("review_files")} QUALIFY row_number() OVER (PARTITION BY task_id[1:1], replace(relative_path, '\\', '/') ORDER BY id) > 1""")
 def duplicate_paths(spark, d):
-    w = Window.partitionBy("task_id", F.translate("relative_path", "\\", "/")).orderBy("id")
-    return files(spark, d).select("id", "task_id", "relative_path", F.row_number().over(w).alias("n")).where("n > 1").drop("n")
+    # within one task no path comes twice, so the tasks whose ids begin alike stand for one submission
+    f = files(spark, d).select("id", "relative_path", F.left("task_id", F.lit(1)).alias("submission"), F.translate("relative_path", "\\", "/").alias("clean"))
+    return f.withColumn("twice", submissions.repeated("submission", "clean", "id")).where("twice").select("id", "relative_path")
 
 
 @query(rf"""WITH p AS (SELECT id, relative_path, replace(relative_path, '\', '/') AS p FROM {L("review_files")})
@@ -337,9 +369,8 @@ def check_types_distinct(spark, d):
 @query(f"""SELECT id, CASE WHEN len(check_types) = 0 OR check_types IS NULL THEN 'none' WHEN len([x FOR x IN check_types IF NOT list_contains({_DOMAIN}, x)]) > 0 THEN 'unsupported' ELSE 'ok' END AS verdict,
 array_to_string([x FOR x IN check_types IF NOT list_contains({_DOMAIN}, x)], ',') AS unsupported FROM {L("review_tasks")}""")
 def unsupported_types(spark, d):
-    odd = F.array_except("check_types", F.array(*[F.lit(c) for c in CHECK_TYPES]))
-    verdict = F.when(F.coalesce(F.size("check_types"), F.lit(0)) <= 0, "none").when(F.size(odd) > 0, "unsupported").otherwise("ok")
-    return tasks(spark, d).select("id", verdict.alias("verdict"), F.array_join(odd, ",").alias("unsupported"))
+    x = tasks(spark, d).select("id", responses.supported(F.col("check_types"), CHECK_TYPES).alias("x"))
+    return x.select("id", "x.verdict", F.array_join("x.unsupported", ",").alias("unsupported"))
 
 
 @query(None)
@@ -348,6 +379,22 @@ def json_contract_parse(spark, d):
     return responses.parse(raw, "ref", "content").select("ref", "status", "error", "summary", "score", F.size("findings").alias("findings"))
 
 
+_TEXTS = " AND ".join(f"coalesce(length(f.{k}), 0) BETWEEN {a} AND {b}" for k, (a, b) in responses.TEXTS.items())
+_LINES = " AND ".join(f"(f.{k} IS NULL OR len(f.{k}) <= {responses.MOST_LINES} AND len([x FOR x IN f.{k} IF x.line < 1 OR x.content IS NULL]) = 0)" for k in ("code_snippet", "fixed_snippet"))
+_FINDING_OK = f"f.severity IN {tuple(SEVERITIES)} AND f.category IN {tuple(CATEGORIES)} AND {_TEXTS} AND (f.line IS NULL OR f.line >= 1) AND {_LINES}"
+
+
+@query(f"""WITH r AS (SELECT id, result_json AS j FROM {L("reports")} WHERE result_json IS NOT NULL),
+x AS (SELECT id, j, coalesce(length(j.summary), 0) BETWEEN {responses.SUMMARY[0]} AND {responses.SUMMARY[1]} AND j.score BETWEEN 0 AND 100 AND (SELECT coalesce(bool_and(coalesce({_FINDING_OK}, false)), true) FROM (SELECT unnest(j.findings) AS f)) AS ok FROM r)
+SELECT id, CASE WHEN ok THEN 'valid' ELSE 'invalid' END AS status, CASE WHEN ok THEN j.summary END AS summary, CASE WHEN ok THEN j.score END AS score, CASE WHEN ok THEN array_to_string([f.severity || ':' || f.file_path || ':' || coalesce(f.line, 0) || ':' || f.title FOR f IN j.findings], '|') END AS findings FROM x""")
+def json_contract_round_trip(spark, d):
+    """Every stored result as JSON text, within a code fence, read again by the contract."""
+    r = latest(table(spark, d, "reports"), "result_json").where("result_json IS NOT NULL")
+    raw = r.select("id", F.concat(F.lit("```json\n"), F.to_json("result_json", {"ignoreNullFields": "false"}), F.lit("\n```")).alias("content"))
+    one = lambda f: F.concat_ws(":", f.severity, f.file_path, F.coalesce(f.line, F.lit(0)).cast("string"), f.title)
+    return responses.parse(raw, "id", "content").select("id", "status", "summary", "score", F.array_join(F.transform("findings", one), "|").alias("findings"))
+
+
 @query(f"""WITH e AS (SELECT id, unnest(string_split_regex(model_log, '\\n\\n\\[')) AS t FROM {L("review_tasks")}) SELECT id AS task_id, count(*) AS answers FROM e WHERE contains(t, {_NL} || 'Raw model response:' || {_NL}) GROUP BY id""")
 def raw_answers_count(spark, d):
     return responses.raw_answers(latest(table(spark, d, "review_tasks"), "model_log")).groupBy("task_id").agg(F.count("*").alias("answers"))
@@ -396,11 +443,10 @@ def cascade_delete(spark, d):
     return out
 
 
-@query("""SELECT id, coalesce(nullif(description, ''), display_name, model_identifier) AS label, CASE WHEN lower(role) = 'x' THEN '' ELSE upper(display_name) END AS shown
-FROM (SELECT *, 'y' AS role FROM model_nodes)""")
+@query("""SELECT id, coalesce(nullif(description, ''), nullif(display_name, ''), model_identifier) AS label FROM model_nodes""")
 def coalesce_chain(spark, d):
     n = table(spark, d, "model_nodes")
-    return n.select("id", F.coalesce(F.nullif("description", F.lit("")), "display_name", "model_identifier").alias("label"), F.upper("display_name").alias("shown"))
+    return n.select("id", text.first_filled(F.col("description"), F.col("display_name"), F.col("model_identifier")).alias("label"))
 
 
 _LABELS = {"memory_safety": "Memory", "logic": "Logic", "style": "Style"}
@@ -408,9 +454,8 @@ _LABELS = {"memory_safety": "Memory", "logic": "Logic", "style": "Style"}
 
 @query(f"""SELECT f.category AS category, coalesce(map {_LABELS}[f.category], f.category) AS label, count(*) AS n FROM (SELECT unnest(result_json.findings) AS f FROM {L("reports")}) GROUP BY 1, 2""")
 def label_lookup(spark, d):
-    labels = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])
     f = parts(spark, d, categories="findings.category").select(F.explode("categories").alias("category"))
-    return f.select("category", F.coalesce(F.try_element_at(labels, F.col("category")), F.col("category")).alias("label")).groupBy("category", "label").agg(F.count("*").alias("n"))
+    return f.select("category", text.labelled(F.col("category"), _LABELS).alias("label")).groupBy("category", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT repository, language, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM (SELECT split_part(replace(relative_path, '\\', '/'), '/', 1) AS repository, lower(regexp_extract(relative_path, '\\.([^./]+)$', 1)) AS language, size_bytes FROM {L("review_files")}) GROUP BY 1, 2""")

@@ -20,9 +20,9 @@ def _totals(spark, d):
 
 
 @query(f"""WITH t AS ({_TOTALS}) SELECT * FROM (SELECT event_id, user_id, greatest(0.0, round((total - lag(total) OVER w) / greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 0.001), 2)) AS rate,
-lag(total) OVER w AS before FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE before IS NOT NULL""".replace("SELECT * FROM (", "SELECT event_id, user_id, rate FROM ("))
+lag(total) OVER w AS before FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before IS NOT NULL""".replace("SELECT * FROM (", "SELECT event_id, user_id, rate FROM ("))
 def counter_rate(spark, d):
-    return metrics.rates(_totals(spark, d), "user_id", "ts", "total").where("rate IS NOT NULL").select("event_id", "user_id", "rate")
+    return metrics.rates(_totals(spark, d), "user_id", "ts", "total", "event_id").where("rate IS NOT NULL").select("event_id", "user_id", "rate")
 
 
 @query("""SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS peak FROM events""")
@@ -109,10 +109,11 @@ def blank_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(text.blank(F.col("text")), F.lit(True)).alias("blank"))
 
 
-@query(f"""SELECT id, CASE WHEN username LIKE '%a%' THEN username || '.c:' || (id <> '')::INT ELSE username END AS location FROM users""")
+@query(f"""SELECT id, n::INT AS n, coalesce(f.file_path, 'unknown') || CASE WHEN coalesce(f.line, 0) <> 0 THEN ':' || f.line ELSE '' END AS location FROM (SELECT id, unnest(result_json.findings) AS f, generate_subscripts(result_json.findings, 1) AS n FROM {L("reports")})""")
 def location_strings(spark, d):
-    u = table(spark, d, "users")
-    return u.select("id", F.when(F.col("username").like("%a%"), F.concat("username", F.lit(".c:"), (F.col("id") != "").cast("int").cast("string"))).otherwise(F.col("username")).alias("location"))
+    r = table(spark, d, "reports").select("id", "updated_at", F.arrays_zip(F.col("result_json.findings.file_path").alias("path"), F.col("result_json.findings.line").alias("line")).alias("places"))
+    each = latest(r).select("id", F.posexplode("places").alias("at", "x"))
+    return each.select("id", (F.col("at") + 1).alias("n"), text.location(F.col("x.path"), F.col("x.line")).alias("location"))
 
 
 @query("""SELECT o_orderkey, format('{:g}', (o_orderkey % 10001) / 100.0::DOUBLE) AS score FROM orders""")
@@ -123,8 +124,8 @@ def general_numbers(spark, d):
 @query(f"""SELECT owner_id, status, count(*) AS tasks, count(DISTINCT model_node_id) AS nodes, round(avg(duration_ms), 2) AS mean_ms, max(duration_ms) AS longest_ms FROM {L("review_tasks")} GROUP BY GROUPING SETS ((owner_id, status), (status), ())""")
 def task_rollup(spark, d):
     t = latest(table(spark, d, "review_tasks"), "owner_id", "status", "model_node_id", "duration_ms")
-    t.createOrReplaceTempView("lintlake_tasks")
-    return spark.sql("SELECT owner_id, status, count(*) AS tasks, count(DISTINCT model_node_id) AS nodes, round(avg(duration_ms), 2) AS mean_ms, max(duration_ms) AS longest_ms FROM lintlake_tasks GROUP BY GROUPING SETS ((owner_id, status), (status), ())")
+    owner, status = F.col("owner_id"), F.col("status")
+    return t.groupingSets([[owner, status], [status], []], owner, status).agg(F.count("*").alias("tasks"), F.countDistinct("model_node_id").alias("nodes"), F.round(F.avg("duration_ms"), 2).alias("mean_ms"), F.max("duration_ms").alias("longest_ms"))
 
 
 _ENDS = f"(SELECT id, unnest(regexp_extract_all(model_log, '\\] Attempt \\d+ (?:succeeded|failed: [^\\n]*)')) AS e FROM {L('review_tasks')})"
@@ -163,30 +164,34 @@ def formatted_durations(spark, d):
     return latest(table(spark, d, "review_tasks"), "duration_ms").select("id", text.readable_duration(F.col("duration_ms")).alias("duration"))
 
 
-@query(f"""SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE 'large' END AS size FROM {L("review_files")}""")
+_SIZE = " ".join(f"WHEN b < {1024 ** (k + 1)} THEN (floor(b * 10 / 1024.0 ** {k} + 0.5)::BIGINT // 10) || '.' || (floor(b * 10 / 1024.0 ** {k} + 0.5)::BIGINT % 10) || ' {u}'" for k, u in enumerate(("KB", "MB", "GB", "TB"), 1))
+
+
+@query(f"""SELECT id, scale, CASE WHEN b IS NULL THEN '--' WHEN b < 1024 THEN b || ' B' {_SIZE} END AS size FROM (SELECT id, scale, size_bytes::DOUBLE::BIGINT * scale AS b FROM {L("review_files")}, (SELECT unnest([1, 100, 50000, 30000000]::BIGINT[]) AS scale))""")
 def formatted_sizes(spark, d):
-    f = latest(table(spark, d, "review_files"), "size_bytes").select("id", text.readable_bytes(F.col("size_bytes")).alias("size"))
-    return f.select("id", F.when(F.col("size").endswith(" B"), F.col("size")).otherwise("large").alias("size"))
+    f = latest(table(spark, d, "review_files"), "size_bytes").select("id", "size_bytes", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 100, 50_000, 30_000_000)])).alias("scale"))
+    return f.select("id", "scale", text.readable_bytes(F.col("size_bytes") * F.col("scale")).alias("size"))
 
 
-@query(f"""SELECT id, 'Check these:' || array_to_string([chr(10) || '- ' || CASE x WHEN 'logic' THEN 'logic errors' ELSE x END FOR x IN check_types], '') AS prompt FROM {L("review_tasks")} WHERE len(list_distinct(check_types)) = len(check_types)""")
+@query(f"""SELECT id, 'Check these:' || array_to_string([chr(10) || '- ' || CASE x WHEN 'logic' THEN 'logic errors' ELSE x END FOR x IN [check_types[i] FOR i IN range(1, len(check_types) + 1) IF list_position(check_types, check_types[i]) = i]], '') AS prompt FROM {L("review_tasks")}""")
 def check_type_prompts(spark, d):
-    t = latest(table(spark, d, "review_tasks"), "check_types").where(F.size(F.array_distinct("check_types")) == F.size("check_types"))
+    t = latest(table(spark, d, "review_tasks"), "check_types")
     return t.select("id", text.kinds_text(F.col("check_types"), {"logic": "logic errors"}, "Check these:").alias("prompt"))
 
 
-@query("""SELECT model_identifier, display_name, false AS is_default FROM model_nodes WHERE model_identifier <> 'lab/corvid-coder-7b'
-UNION ALL SELECT 'lab/corvid-coder-7b', 'New name', true UNION ALL SELECT 'lab/new', 'New node', false""")
+@query("""WITH n AS (SELECT model_identifier, display_name FROM model_nodes), new AS (SELECT model_identifier, 'New ' || display_name AS display_name FROM n WHERE length(display_name) % 2 = 0 UNION ALL SELECT 'lab/' || username, username FROM users)
+SELECT model_identifier, display_name FROM new UNION ALL SELECT * FROM n WHERE model_identifier NOT IN (SELECT model_identifier FROM new)""")
 def upsert_nodes(spark, d):
-    nodes = table(spark, d, "model_nodes").select("model_identifier", "display_name", F.lit(False).alias("is_default"), F.lit(0).alias("version"))
-    new = spark.createDataFrame([("lab/corvid-coder-7b", "New name", True, 1), ("lab/new", "New node", False, 1)], "model_identifier string, display_name string, is_default boolean, version int")
-    return state.upserted(nodes, new, "model_identifier", "version").drop("version")
+    nodes = table(spark, d, "model_nodes").select("model_identifier", "display_name", F.lit(0).alias("version"))
+    renamed = nodes.where(F.length("display_name") % 2 == 0).select("model_identifier", F.concat(F.lit("New "), F.col("display_name")).alias("display_name"), F.lit(1).alias("version"))
+    users = table(spark, d, "users").select(F.concat(F.lit("lab/"), F.col("username")).alias("model_identifier"), F.col("username").alias("display_name"), F.lit(1).alias("version"))
+    return state.upserted(nodes, renamed.unionByName(users), "model_identifier", "version").drop("version")
 
 
-@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' - INTERVAL 30 MINUTE) WHERE n <= 360""")
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' - INTERVAL 30 MINUTE) WHERE n <= 360""")
 def retained_samples(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("node_id"), F.col("ts").alias("captured_at"))
-    return peaks.retained(e, "2024-01-10 00:00:00").select("event_id", F.col("node_id").alias("user_id"))
+    return peaks.retained(e, "2024-01-10 00:00:00", tie="event_id").select("event_id", F.col("node_id").alias("user_id"))
 
 
 @query(f"""SELECT id, display_name, status FROM {L("review_tasks")} WHERE id = (SELECT min(id) FROM review_tasks)""")

@@ -24,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def latest(df: DataFrame, *columns: str) -> DataFrame:
     """One row an id, the one updated last, of the columns given; columns are pruned before the shuffle."""
     narrow = df.select(*dict.fromkeys(["id", *columns, "updated_at"])) if columns else df
-    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("updated_at").desc()))
+    # of rows with equal stamps the content decides, so that the choice does not depend on their order
+    content = [c for c, t in narrow.dtypes if "map<" not in t and "variant" not in t]
+    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("updated_at").desc(), F.xxhash64(*content)))
     return narrow.withColumn("_n", newest).where("_n = 1").drop("_n")
 
 

@@ -15,9 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lintlake.functions import text
+from lintlake.functions import responses, text
 
 SCHEMA = "submission string, pos int, relative_path string, source_text string, size_bytes long, error string"
 EXTENSIONS = (".c", ".h")
@@ -36,7 +36,11 @@ class Limits:
 
 
 def inline(spark: SparkSession, source: str, limits: Limits = Limits()) -> DataFrame:
-    """One text as a file snippet.c."""
+    """One text as a file snippet.c; a text with lone surrogates can't be written as UTF-8 and is an error."""
+    try:
+        source.encode()
+    except UnicodeError:
+        return spark.createDataFrame([("text", 0, "snippet.c", None, None, "not_unicode")], SCHEMA)
     df = spark.createDataFrame([("text", 0, "snippet.c", source)], "submission string, pos int, relative_path string, source_text string")
     df = df.withColumn("size_bytes", F.octet_length(F.encode("source_text", "UTF-8")).cast("long"))
     return df.withColumn("error", F.when(text.blank(F.col("source_text")), "blank").when(F.col("size_bytes") > limits.file_bytes, "file_too_large"))
@@ -53,6 +57,11 @@ def files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFram
     return out.withColumn("error", error).drop("_taken")
 
 
+def repeated(submission: str, path: str, pos: str) -> Column:
+    """Whether a path has come before in its submission."""
+    return F.row_number().over(Window.partitionBy(submission, path).orderBy(pos)) > 1
+
+
 def folders(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """From entries(submission, pos, path, content BINARY): windows give running counts and sums, the first error wins.
 
@@ -61,7 +70,7 @@ def folders(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     w = Window.partitionBy("submission").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     path = text.clean_path(F.col("path"))
     df = entries.withColumn("clean", path).withColumn("size", F.octet_length("content").cast("long")).withColumn("n", F.row_number().over(Window.partitionBy("submission").orderBy("pos")))
-    df = df.withColumn("twice", F.row_number().over(Window.partitionBy("submission", "clean").orderBy("pos")) > 1)
+    df = df.withColumn("twice", repeated("submission", "clean", "pos"))
     df = df.withColumn("source", text.suffix(F.col("clean")).isin(*EXTENSIONS))
     df = df.withColumn("bytes", F.sum(F.when(F.col("source"), F.col("size"))).over(w)).withColumn("taken", F.count_if("source").over(w))
     guard = (
@@ -83,6 +92,43 @@ def folders(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.unionByName(bad)
 
 
+def display_names(rows: DataFrame, default: str = "folder") -> DataFrame:
+    """(submission, display_name) of the files of folders: the first part of the path of the last file that lies in a folder."""
+    nested = F.when(F.col("relative_path").contains("/"), F.struct("pos", F.split("relative_path", "/")[0].alias("name")))
+    return rows.where("error IS NULL").groupBy("submission").agg(F.coalesce(F.max(nested)["name"], F.lit(default)).alias("display_name"))
+
+
+def created(submissions: DataFrame, files: DataFrame, nodes: DataFrame, domain: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tasks, files, rejects) of submissions(submission, owner_id, model_node_id, name, default_name, input_mode, check_types) and their files.
+
+    A submission needs an enabled node, check types of the domain and a file without an error; rejects(submission, error) tells what is
+    missing.  The display name is the trimmed name or else the default; a task's id is made from the submission, those of files are random.
+    """
+    usable = nodes.where(F.col("is_enabled").eqNullSafe(True)).select(F.col("id").alias("model_node_id"), F.lit(True).alias("_node")).distinct()
+    counts = files.groupBy("submission").agg(F.count_if(F.col("error").isNull()).alias("file_count"), F.first("error", ignorenulls=True).alias("_wrong"))
+    df = submissions.join(usable, "model_node_id", "left").join(counts, "submission", "left").withColumn("_kinds", responses.supported(F.col("check_types"), domain))
+    error = F.when(F.col("_node").isNull(), "model is not available").when(F.col("_kinds.verdict") != "ok", F.concat(F.lit("check types: "), F.col("_kinds.verdict"))).when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.coalesce("file_count", F.lit(0)) == 0, "no files")
+    judged = df.withColumn("error", error)
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("default_name"))
+    # the id is made from the submission, so that it is the same wherever it is worked out again
+    tasks = judged.where("error IS NULL").select(task_id(F.col("submission")).alias("id"), "submission", "owner_id", "model_node_id", name.alias("display_name"), "input_mode", F.lit("queued").alias("status"), F.lit(0).alias("progress"), F.lit(0).alias("queue_priority"), F.col("file_count").cast("int").alias("file_count"), F.col("_kinds.kinds").alias("check_types"))
+    kept = files.where("error IS NULL").join(tasks.select("submission"), "submission", "left_semi")
+    rows = kept.select(F.uuid().alias("id"), task_id(F.col("submission")).alias("task_id"), "pos", "relative_path", "source_text", "size_bytes")
+    return tasks, rows, judged.where("error IS NOT NULL").select("submission", "error")
+
+
+def task_id(submission: Column) -> Column:
+    """A UUID made from the name of a submission."""
+    h = F.md5(submission.cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def stored(tasks: DataFrame, files: DataFrame, path: str) -> None:
+    """Appends tasks and their files to the tables below path; the files first, so that no task stands without its files."""
+    files.write.mode("append").parquet(f"{path}/review_files")
+    tasks.write.mode("append").parquet(f"{path}/review_tasks")
+
+
 def _unpacked(name: str, content: bytes, limits: Limits) -> tuple[list[tuple], str | None]:
     """The source files of one archive, or the first guard that it breaks."""
     if not name.lower().endswith(".zip"):

@@ -40,7 +40,7 @@ def step(path: str):
             old = spark.read.parquet(os.path.join(path, before[-1]))
             tasks = state.upserted(old, batch.select(*old.columns), "id", "updated_at")
         else:
-            tasks = batch
+            tasks = state.upserted(batch.limit(0), batch, "id", "updated_at")  # ids may come twice in the first batch too
         out = queue.dispatched(tasks, queue.head(tasks))
         out.write.mode("overwrite").parquet(os.path.join(path, _VERSION.format(number)))
 
