@@ -182,24 +182,27 @@ def learn(texts: DataFrame) -> DataFrame:
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, level, keys, word = [], [], [], []
-        for k, text in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), strict=True):
+        rows, level, keys, word, own = [], [], [], [], []
+        for k, text, copies in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), b.column("copies").to_pylist(), strict=True):
             ws = words(form(last_sentence(MARK.sub("", text.rstrip()))))
             for n, key in zip((5, 4, 3, 2, 1), _keys(ws), strict=True):
                 rows.append(k)
+                own.append(copies)
                 level.append(n)
                 keys.append(key)
                 word.append(bool(ws) and ws[-1].isalpha() and ws[-1] not in "ⓆⓃⓀ")
-        yield pa.record_batch({"ref": pa.array(rows, pa.string()), "level": pa.array(level, pa.int32()), "key": pa.array(keys, pa.int64()), "word": pa.array(word, pa.bool_())})
+        yield pa.record_batch({"ref": pa.array(rows, pa.string()), "level": pa.array(level, pa.int32()), "key": pa.array(keys, pa.int64()), "word": pa.array(word, pa.bool_()), "own": pa.array(own, pa.int64())})
 
 
 def judge(values: DataFrame, model: DataFrame) -> DataFrame:
     """(ref, goes, stops, ends, level, never, last) for values(ref, text): the counts of the longest beginning that says something.
 
+    `copies`, where the values have it, tells how often a value was learnt from; its own ends say nothing about it.
     `never`: the last word never closes; `last`: other values mostly end one word after the same two words.
     """
-    asked = values.select(F.col("ref").cast("string").alias("ref"), "text").mapInArrow(_asked, "ref string, level int, key long, word boolean")
-    known = asked.join(model, "key").withColumn("ends", F.greatest(F.col("ends") - 1, F.lit(0)))
+    copies = F.col("copies") if "copies" in values.columns else F.lit(1)
+    asked = values.select(F.col("ref").cast("string").alias("ref"), "text", copies.cast("long").alias("copies")).mapInArrow(_asked, "ref string, level int, key long, word boolean, own long")
+    known = asked.join(model, "key").withColumn("ends", F.greatest(F.col("ends") - F.col("own"), F.lit(0)))
     said = known.where("goes + stops + ends >= 1")
     never = (F.col("level") == 1) & F.col("word") & (F.col("goes") >= NEVER[0]) & (F.col("goes") > NEVER[1] * (F.col("stops") + F.col("ends")))
     last = (F.col("level") == 5) & (F.col("ends") >= LAST) & (F.col("ends") > F.col("goes"))

@@ -20,6 +20,8 @@ from lintlake.llm.env import reliable
 
 #: Neighbouring lengths that a hazard is held against, and the rate of false discoveries.
 NEIGHBOURS, RATE = 12, 0.01
+#: Classes of probabilities, by halves, within which they are ranked.
+STEPS = 1_100
 _ENTRY = re.compile(r"\n\n(?=\[\d{4}-)")
 _STAMP = re.compile(r"^\[[^\]\n]*\] ?", re.M)
 _RAW = "\nRaw model response:"
@@ -50,9 +52,11 @@ def _raw_end(answer: str) -> tuple[str | None, str | None]:
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each value what its text alone tells, and the part to be judged where that is nothing."""
+    """For each value what its text alone tells, the part to be judged where that is nothing, and the form of its last sentence."""
+    import xxhash
+
     for b in batches:
-        said, part, raws = [], [], []
+        said, part, raws, forms = [], [], [], []
         for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist(), strict=True):
             tail, raw = _log_tail(text) if field == "model_log" else (endings.last_sentence(text), False)
             whole = text if field != "model_log" else tail
@@ -60,7 +64,8 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             said.append(say)
             part.append(tail if say is None else None)
             raws.append(raw)
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("record_id", "field", "finding_no", "source", "length")], pa.array(said, pa.string()), pa.array(part, pa.string()), pa.array(raws, pa.bool_())], names=["record_id", "field", "finding_no", "source", "length", "said", "tail", "raw"])
+            forms.append(xxhash.xxh64_intdigest(endings.form(endings.last_sentence(whole))) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("record_id", "field", "finding_no", "source", "length")], pa.array(said, pa.string()), pa.array(part, pa.string()), pa.array(raws, pa.bool_()), pa.array(forms, pa.int64())], names=["record_id", "field", "finding_no", "source", "length", "said", "tail", "raw", "form"])
 
 
 def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +82,9 @@ def values(tasks: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def hazards(lengths: DataFrame) -> DataFrame:
-    """(field, source, length, n, at_risk, hazard, around, p, significant) from one row (field, source, length) a value.
+    """(field, source, length, n, at_risk, hazard, around, p, significant) from rows (field, source, length).
 
+    A row stands for all values of one length that end in the same form, so that a fixed phrase makes no limit of its length.
     The probability is the Chernoff bound of the binomial tail under the neighbours' hazard; significance is by the step-up
     procedure of Benjamini and Hochberg over all lengths of all fields and sources.  Without values there are no rows.
     """
@@ -91,9 +97,12 @@ def hazards(lengths: DataFrame) -> DataFrame:
     x, q = F.least(F.col("hazard"), F.lit(1 - 1e-9)), F.col("around")
     kl = x * F.log(x / q) + (1 - x) * F.log((1 - x) / (1 - q))
     tested = h.withColumn("p", F.when(x > q, F.exp(-F.col("at_risk") * kl)).otherwise(1.0))
-    # the step-up needs ranks over all tests; lengths repeat, so equal probabilities are counted first and only those are ranked
-    steps = tested.groupBy("p").agg(F.count("*").alias("k"))
-    ranked = steps.withColumn("rank", F.sum("k").over(Window.orderBy("p"))).crossJoin(F.broadcast(tested.agg(F.count("*").alias("m"))))
+    # the step-up needs ranks over all tests: equal probabilities are counted, ranked within STEPS classes of their size, and the
+    # tests of the classes before are added
+    steps = tested.groupBy("p").agg(F.count("*").alias("k")).withColumn("class", F.when(F.col("p") > 0, F.least(F.floor(-F.log2("p")), F.lit(STEPS - 1))).otherwise(STEPS - 1).cast("int"))
+    before = steps.groupBy("class").agg(F.sum("k").alias("n"))
+    before = before.select("class", (F.sum("n").over(Window.orderBy(F.col("class").desc())) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("m"))  # STEPS rows at most
+    ranked = steps.join(F.broadcast(before), "class").withColumn("rank", F.col("before") + F.sum("k").over(Window.partitionBy("class").orderBy("p")))
     limit = ranked.where(F.col("p") <= F.lit(RATE) * F.col("rank") / F.col("m")).agg(F.max("p").alias("limit"))
     return tested.crossJoin(F.broadcast(limit)).withColumn("significant", F.coalesce(F.col("p") <= F.col("limit"), F.lit(False))).drop("limit")
 
@@ -103,12 +112,14 @@ def judged(tasks: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = tasks.select(F.col("id").alias("task_id"), F.col("model_node_id").alias("source")).dropDuplicates(["task_id"])
     every = values(tasks, reports).join(source, "task_id", "left").withColumn("length", F.length("text"))
     model = endings.learn(values(tasks, reports).select("field", "text").mapInArrow(_learn_texts, "text string"))
-    tails = every.select("record_id", "field", "finding_no", "source", "length", "text").mapInArrow(_tails, "record_id string, field string, finding_no int, source string, length int, said string, tail string, raw boolean")
-    tails = reliable(tails.dropDuplicates(["record_id", "field", "finding_no"]))
-    hazard = reliable(hazards(tails.select("field", "source", "length")))
+    tails = every.select("record_id", "field", "finding_no", "source", "length", "text").mapInArrow(_tails, "record_id string, field string, finding_no int, source string, length int, said string, tail string, raw boolean, form long")
+    newest = F.first(F.struct("source", "length", "said", "tail", "raw", "form")).alias("x")
+    once = tails.groupBy("record_id", "field", "finding_no").agg(newest, F.count("*").alias("copies"))
+    tails = reliable(once.select("record_id", "field", "finding_no", "x.*", "copies"))
+    hazard = reliable(hazards(tails.select("field", "source", "length", "form").distinct().drop("form")))
     ref = F.concat_ws("\t", "record_id", "field", F.col("finding_no").cast("string"))
     open_ = tails.where("tail IS NOT NULL").withColumn("ref", ref)
-    counts = endings.judge(open_.select("ref", F.col("tail").alias("text")), model)
+    counts = endings.judge(open_.select("ref", F.col("tail").alias("text"), "copies"), model)
     limits = hazard.where("significant").select("field", "source", "length", F.lit(True).alias("limit"))
     limit = F.coalesce("limit", F.lit(False))
     at = tails.withColumn("ref", ref).join(limits, ["field", "source", "length"], "left")
