@@ -54,7 +54,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_checked(spark, sf_dir).where("NOT valid").select("file_id").distinct()
+    return syntax.broken_files(table(spark, sf_dir, "review_files", "id", "relative_path", "source_text"))
 
 
 @query

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -22,6 +23,10 @@ from lintlake.llm.tokenize import TOKENIZERS, VOCABULARY, ranks
 #: Unexplained characters that make a literal a credential after a credential's name, and elsewhere.
 NEAR, FAR = 2, 8
 
+#: Characters in which a cast or a copying call and the quote after it fit.
+CAST = 80
+_BLANKS = re.compile(r"\s*")
+
 #: Words of names that hold a credential (fixed values).
 _SURE = """password passwd passwort pass pwd pw passphrase passcode secret token tok bearer apikey psk credential credentials cred creds jwt
 contrasena clave kennwort pin otp""".split()
@@ -79,27 +84,27 @@ _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-
 
 
 @lru_cache(1)
-def _dictionary(path: str) -> dict[str, float]:
-    """Words of the public vocabulary with their cost; the vocabulary is ordered by how common its entries are."""
+def _dictionary(path: str) -> tuple[dict[str, float], int]:
+    """Words of the public vocabulary with their cost, and the length of the longest; the vocabulary is ordered by how common its entries are."""
     out: dict[str, float] = {}
     for word, rank in ranks(path).items():
         w = word.decode("utf-8", "ignore").strip().lower()
         if len(w) >= 3 and w.isalpha() and w.isascii():
             out.setdefault(w, 3 + math.log(rank + 10))
-    return out
+    return out, max(map(len, out), default=0)
 
 
 @lru_cache(100_000)
 def residual(literal: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> int:
     """Letters and digits of the literal that the cheapest segmentation leaves unexplained."""
-    words, n = _dictionary(path), len(literal)
+    (words, longest), n = _dictionary(path), len(literal)
     low = literal.lower()
     best, left = [0.0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         c = low[i - 1]
         free = not c.isalnum()
         best[i], left[i] = best[i - 1] + (1.0 if free else 6.0), left[i - 1] + (not free)
-        for k in range(3, min(i, 16) + 1):
+        for k in range(3, min(i, longest) + 1):
             cost = words.get(low[i - k : i])
             if cost is not None and best[i - k] + cost < best[i]:
                 best[i], left[i] = best[i - k] + cost, left[i - k]
@@ -142,18 +147,16 @@ def plausible(value: str, least: int, sure: bool) -> bool:
 class _Finder:
     def __init__(self, text: str):
         self.text = text
-        self.spans: dict[int, int] = {}
+        self.starts: list[int] = []
+        self.ends: list[int] = []
 
     def add(self, start: int, end: int) -> None:
+        """Adds a span; spans that overlap become one."""
         if end > start:
-            for s, e in list(self.spans.items()):
-                if s < end and start < e:
-                    if s <= start:
-                        self.spans[s] = max(e, end)
-                        return
-                    del self.spans[s]
-                    end = max(e, end)
-            self.spans[start] = end
+            i, j = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+            if i < j:
+                start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+            self.starts[i:j], self.ends[i:j] = [start], [end]
 
     def literal(self, at: int, least: int, sure: bool) -> bool:
         """Adds the literal (or the adjacent literals) at this place, if it can be a credential."""
@@ -197,7 +200,7 @@ def find(text: str) -> list[tuple[int, int]]:
         done = b
         f = f or _Finder(text)
         _in_line(f, text, low[a:b], a, b)
-    return sorted(f.spans.items()) if f else []
+    return list(zip(f.starts, f.ends, strict=True)) if f else []
 
 
 def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
@@ -243,7 +246,8 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
             if speaks(name):
                 f.literal(at, NEAR, True)
         return
-    for m in _ASSIGN.finditer(text, a, min(len(text), b + 80)):
+    # a value may stand on the next line, after any number of blanks and a cast
+    for m in _ASSIGN.finditer(text, a, min(len(text), _BLANKS.match(text, b).end() + CAST)):
         if m.start() < b and speaks(m["name"]) and text[m.end() : m.end() + 1] not in ("{", "("):
             f.literal(m.end(), NEAR, True)
     if quoted:
@@ -352,5 +356,8 @@ def find_secrets(files: DataFrame) -> DataFrame:
 
 
 def redact(files: DataFrame) -> DataFrame:
-    """(file_id, redacted_text) of every row: the text with each credential masked and all else unchanged; null stays null."""
-    return files.select("id", "source_text").where(F.col("id").isNotNull()).mapInArrow(_scan(True), "file_id string, redacted_text string")
+    """(file_id, redacted_text), one row an id: the text with each credential masked and all else unchanged; null stays null.
+
+    Null ids give no row; rows given twice come out once.
+    """
+    return files.select("id", "source_text").where("id IS NOT NULL").mapInArrow(_scan(True), "file_id string, redacted_text string").dropDuplicates(["file_id"])

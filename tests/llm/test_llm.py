@@ -213,7 +213,33 @@ def test_files_and_rates(spark):
     bad = {r.file_id: r.cause for r in got.where("NOT valid").collect()}
     assert bad == {"b": "truncated", "d": "truncated", "e": "truncated", "h": "conflict", "i": "extension"}
     rate = {(r.repository, r.language): (r.files, r.invalid) for r in syntax.rates(got).collect()}
-    assert rate[("r", "c")] == (5, 3) and rate[("q.py", "python")] == (1, 1)
+    assert rate[("r", "c")] == (5, 3) and rate[("q.py", "python")] == (1, 1) and rate[("r", "ini")] == (1, 0)
+    assert got.where("file_id = 'b'").count() == 1
+    assert {r.file_id for r in syntax.broken_files(_files(spark, rows)).collect()} == set(bad)
+
+
+@pytest.mark.parametrize(
+    ("condition", "first"),
+    [
+        (" + ".join(["1"] * 1200) + " == 1200", True), ("1 << 99999999999", False), ("(1 << 3) == 8 && -1 < 0", True), ("-1 > 0u", True), ("defined(X) ? 0 : 1", True), ("'A' == 65", True),
+        ("0 && 1 / 0", False), ("1 / 0", False), ("M0 == 7", True), ("GE(3, 300) && 010 == 8", True), ("(" * 3000 + "1" + ")" * 3000, True), ("", False), ("1 +", False), ("0x7fffffffffffffff + 1 < 0", True),
+    ],
+)
+def test_conditions(condition, first):
+    import sys
+
+    sys.setrecursionlimit(100_000)
+    good, bad = "int a;", "not ( c"
+    head = "".join(f"#define M{i} M{i + 1}\n" for i in range(300)) + "#define M300 7\n#define GE(a, b) ((a) * 100 >= (b))\n"
+    assert grammar_c.read(f"{head}#if {condition}\n{good if first else bad}\n#else\n{bad if first else good}\n#endif\n") is None
+
+
+def test_macros_and_nesting_that_can_not_be_told(spark):
+    bomb = "".join(f"#define B{i} B{i + 1} B{i + 1}\n" for i in range(60)) + "#define B60 x\nint a = (B0;"
+    rows = [("bomb", "r/a.c", bomb), ("deep", "r/a.json", "[" * 600_000), ("nested", "r/b.json", "[" * 60_000 + "]" * 60_000), ("open", "r/c.json", "[" * 60_000)]
+    got = {r.file_id: (r.valid, r.cause) for r in syntax.check_files(_files(spark, rows)).collect()}
+    assert got == {"bomb": (None, "macros"), "deep": (None, "depth"), "nested": (True, None), "open": (False, "truncated")}
+    assert [r.file_id for r in syntax.broken_files(_files(spark, rows)).collect()] == ["open"]
 
 
 # 3
