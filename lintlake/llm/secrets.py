@@ -131,7 +131,7 @@ def _classes(v: str) -> int:
 def plausible(value: str, least: int, sure: bool) -> bool:
     """Whether a literal can be a credential: no placeholder, no prose, no hash format, and enough that no word explains."""
     v = value.strip()
-    if len(v) < 6 or _PLACE.match(v) or _HASH.match(v) or re.search(r"\s", v) or "%s" in v or re.search(r"\$\{|\{\w*\}|<\w+>|\.(?:pem|key|crt|txt|json|ini|h|c|py)$", v):
+    if len(v) < 4 or _PLACE.match(v) or _HASH.match(v) or re.search(r"\s", v) or "%s" in v or re.search(r"\$\{|\{\w*\}|<\w+>|\.(?:pem|key|crt|txt|json|ini|h|c|py)$", v):
         return False
     if len(set(v)) < 4 or v.isdigit() and len(v) < 8:
         return False
