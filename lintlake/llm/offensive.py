@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Labelled documents that the classifier is fitted on at most (a sample by the hash of the id).
 LABELLED = 20_000
-#: Characters of a document that the fit takes; longer ones are scored, but not learnt from.
-LONGEST = 50_000
+#: Characters of labelled documents that the classifier is fitted on at most, in the same order; the rest is scored, but not learnt from.
+CHARACTERS = 40_000_000
 #: Weights of the model.
 WEIGHTS = 1 << 18
-#: Strengths of the pull to the prior and of the counterfactual penalty; steps of each fitting.
+#: Strengths of the pull to zero and of the counterfactual penalty; steps of each fitting.
 RIDGE, SWAP, STEPS = 0.07, 0.5, 80
 #: Labelled documents in which a feature has to stand, and words of a span with the step from one to the next.
 SEEN, SPAN = 3, (12, 5)
@@ -32,13 +32,6 @@ THRESHOLD = 0.4
 #: Sentences that a task remembers.
 REMEMBERED = 200_000
 
-#: Terms of abuse that the fit starts from (fixed values); labels can overrule each of them.
-SEEDS = """fuck fucking fucker motherfucker shit bullshit asshole arsehole bitch bastard cunt dick dickhead prick twat whore slut moron idiot imbecile
-cretin retard dumbass scumbag loser vermin subhuman nudes nude naked tits boobs porn pussy cock blowjob horny sexy
-arschloch wichser hurensohn fotze schlampe vollidiot trottel missgeburt abschaum fresse nutte ficken nacktbilder
-gilipollas cabrón cabron puta puto mierda imbécil imbecil idiota inútil escoria pendejo zorra coño desnuda follar
-傻逼 白痴 脑残 废物 蠢货 垃圾人 滚出 贱人 婊子 裸照 操你 去死 他妈
-connard salope merde enculé putain stronzo cazzo puttana""".split()
 #: Terms for people and groups (fixed values); patterns take those that no list can hold.
 IDENTITY = """women woman men man girls boys immigrants immigrant foreigners foreigner refugees migrants muslims muslim jews jewish christians christian
 hindus buddhists atheists blacks whites asians africans arabs mexicans germans frenchmen americans chinese indians turks russians gays gay lesbians
@@ -51,6 +44,7 @@ _CODE = re.compile(r"`[^`\n]*`|\b\w*_\w+\b")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s.\-_*·|/]{1,2}){2,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "+": "t", "|": "i", "€": "e"})
 _MIXED = re.compile(r"(?=[^\s]*[^\W\d_])[^\W_]*(?:[@430157$!+|€][^\W_]*)+(?<![!.,])")
+_LEETS = re.compile(r"[@430157$!+|€]")
 _STARRED = re.compile(r"\b([^\W\d_]+)([*#_]{1,4})([^\W\d_]*)", re.I)
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKS = str.maketrans("аеорсухіјѕԁһкмтвнοαρυνικ", "aeopcyxijsdhkmtbhoapuvik")
@@ -70,13 +64,18 @@ def sentences(text: str) -> list[str]:
 
 def plain(sentence: str) -> str:
     """The sentence in lower case with disguises undone: hidden marks, spaced letters, digits and signs for letters."""
-    t = _HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower()
-    t = _CODE.sub(" Ⓠ ", t).replace("ⓠ", "Ⓠ")
-    if re.search("[Ѐ-ӿͰ-Ͽ]", t) and re.search("[a-z]", t):
+    t = sentence.lower()
+    if not sentence.isascii():
+        t = _HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("ⓠ", "Ⓠ")
+    if "`" in t or "_" in t:
+        t = _CODE.sub(" Ⓠ ", t)
+    if not t.isascii() and re.search("[Ѐ-ӿͰ-Ͽ]", t) and re.search("[a-z]", t):
         t = t.translate(_LOOKS)
     t = _SPACED.sub(lambda m: (lambda j: f"{j} {j[1:]}" if j[0] in "aiyo" and len(j) > 4 else j)(re.sub(r"[^\w]|_", "", m[0])), t)
-    t = re.sub(r"(?<!\w)@(\w+)", r"@\1 \1", t)  # a mention or a disguised letter: read both ways
-    t = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) - 1 and len(m[0]) > 2 else m[0], t)
+    if "@" in t:
+        t = re.sub(r"(?<!\w)@(\w+)", r"@\1 \1", t)  # a mention or a disguised letter: read both ways
+    if _LEETS.search(t):
+        t = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) - 1 and len(m[0]) > 2 else m[0], t)
     return re.sub(r"([^\W\d_])\1+", r"\1", re.sub(r"\d+", "Ⓝ", t))  # letters drawn out or doubled count once
 
 
@@ -115,18 +114,6 @@ def features(form: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x) % WEIGHTS for x in out]
 
 
-def prior() -> np.ndarray:
-    import xxhash
-
-    w = np.zeros(WEIGHTS, np.float32)
-    for s in SEEDS:
-        ws = _TOKEN.findall(plain(s))
-        keys = [f"w{ws[0]}"] if len(ws) == 1 else [f"p{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
-        for k in keys:
-            w[xxhash.xxh32_intdigest(k) % WEIGHTS] = 4.0
-    return w
-
-
 class _Matrix:
     def __init__(self, rows: list[list[int]], kept: np.ndarray):
         rows = [[c for c in r if kept[c]] or [0] for r in rows]
@@ -163,14 +150,13 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     y = np.asarray([v for v, b in zip(labels, bags, strict=True) if b], bool)
     bags = [b for b in bags if b]
     forms = list(index)
-    w0 = prior()
     if not bags or y.all() or not y.any():
-        return np.append(w0, -3.0)
+        return np.append(np.zeros(WEIGHTS, np.float32), np.float32(-3.0))
     rows = [features(f) for f in forms]
     seen = np.zeros(WEIGHTS, np.int64)
     for b in bags:
         seen[list({c for i in b for c in rows[i]})] += 1
-    kept = (seen >= SEEN) | (w0 != 0)
+    kept = seen >= SEEN
     kept[0] = False
     x = _Matrix(rows, kept)
     pairs = [(i, s) for i, f in enumerate(forms) for k in (7, 19) if (s := swapped(f, k))]
@@ -179,10 +165,10 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     flat = np.concatenate([np.asarray(b) for b in bags])
     bag = np.repeat(np.arange(len(bags)), size)
     negative = np.bincount(flat[~y[bag]], minlength=len(forms)).astype(float)
-    w, b = w0.astype(np.float64), -3.0
+    w, b = np.zeros(WEIGHTS), -3.0
     positive = np.bincount(flat[y[bag]], weights=(1 / size)[bag[y[bag]]], minlength=len(forms))
     for _ in range(4):
-        w, b = _descend(x, other, own, positive, negative, w, b, w0)
+        w, b = _descend(x, other, own, positive, negative, w, b)
         s = x.scores(w) + b
         # the worst sentence of each positive document, ties included once
         order = np.lexsort((s[flat], bag))
@@ -194,7 +180,7 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     return np.append(w, b).astype(np.float32)
 
 
-def _descend(x, other, own, positive, negative, w, b, w0):
+def _descend(x, other, own, positive, negative, w, b):
     total = (positive + negative).sum()
     m, v, mb, vb = np.zeros(WEIGHTS), np.zeros(WEIGHTS), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -205,7 +191,7 @@ def _descend(x, other, own, positive, negative, w, b, w0):
             d = s[own] - other.scores(w) - b
             k = SWAP * d * (positive + negative)[own] / total / 10
             g = g + np.bincount(own, weights=k, minlength=len(g))
-        gw = x.back(g) + RIDGE * (w - w0) / total * 10
+        gw = x.back(g) + RIDGE * w / total * 10
         if other is not None:
             gw -= other.back(k)
         gb = g.sum()
@@ -218,7 +204,7 @@ def _descend(x, other, own, positive, negative, w, b, w0):
 
 def vocabulary(texts: list[str], w: np.ndarray) -> dict[int, list[tuple[str, float]]]:
     """Offending words by length, for words of which letters are starred out."""
-    words = {x for t in texts for x in _TOKEN.findall(t.lower())} | {x for s in SEEDS for x in _TOKEN.findall(s)}
+    words = {x for t in texts for x in _TOKEN.findall(t.lower())}
     out: dict[int, list[tuple[str, float]]] = {}
     for x in sorted(words):
         v = float(w[hash_of(f"w{plain(x)}") % WEIGHTS])
@@ -258,15 +244,21 @@ def _score(model):
     return run
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(text, is_abusive) of labelled documents: the annotators' majority, ties and null labels left out, at most `most` rows."""
+def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED, characters: int = CHARACTERS) -> DataFrame:
+    """(doc_id, text, is_abusive) of labelled documents: the annotators' majority, ties and null labels left out.
+
+    The sample is taken in the order of the hashed ids: at most `most` rows, and of these as many as `characters` hold.
+    """
     votes = labels.where("doc_id IS NOT NULL AND is_abusive IS NOT NULL").groupBy("doc_id").agg(F.avg("is_abusive").alias("share"))
     sure = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return sure.join(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL").where(F.length("text") <= LONGEST).select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("is_abusive"))
+    found = sure.join(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"])
+    place = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")  # of `most` rows at most
+    fits = found.withColumn("end", F.sum(F.length("text").cast("long")).over(place)).where(F.col("end") <= characters)
+    return fits.select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("is_abusive"))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score) of every document; null and empty texts score 0, and without labels the prior alone decides."""
+    """(doc_id, source, score) of every document; null and empty texts score 0, and without labels of both kinds nothing is offending."""
     rows = sorted(labelled(documents, labels).collect())
     texts = [r.text for r in rows]
     weights = fit(texts, [r.is_abusive for r in rows])
