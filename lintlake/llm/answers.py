@@ -1,8 +1,10 @@
 """Problem 3: broken pairs of a request and its answer.
 
 Each attempt of a log is put together with its answer.  Openings of answers are reduced to forms and clustered by MinHash with
-verified similarity, connected through all bands; a cluster that recurs across unrelated requests and mostly refuses in words,
-or without findings mostly speaks of declining, makes refusals of all its members.  Copies, other languages, nothing at all and answers that stop early are told by checks on the pair itself.
+verified similarity, connected through all bands.  A cluster that recurs across unrelated requests is a template; where plain
+prose often came instead of the object that was asked for, the template is a refusal.  What refusals say is learnt from the
+templates alone: runs of two and three words count by the requests under which they recur, and openings of their own that speak
+like them are refusals too.  Copies, other languages, nothing at all and answers that stop early are told by checks on the pair.
 """
 
 from __future__ import annotations
@@ -38,32 +40,11 @@ _BLANK = re.compile(
     |no (?:summary|answer|response|content|output|comment)|not (?:available|applicable|provided|specified)|your (?:summary|answer)(?: here)?|insert (?:summary|answer)(?: here)?|the summary|keine(?: angabe)?|ninguno|ninguna|leer|vac[ií]o|无|暂无|空|待定|略)?[\s\W_]*$""",
     re.I | re.X,
 )
-_REFUSES = re.compile(
-    r"""\bi(?:\s+(?:am|must|do|will|would|have\s+to)|['’](?:m|ll|d|ve))?\b[^.!?]{0,40}?\b(?:can(?:no|['’])t|cannot|can\s+not|won['’]t|will\s+not|unable\s+to|not\s+able\s+to|not\s+allowed|not\s+permitted|decline|have\s+to\s+(?:decline|pass|refuse)|prefer\s+not|rather\s+not|refuse|not\s+(?:comfortable|willing|going)\s+to)\b
-    |\b(?:my|our|the)\s+(?:policy|policies|guidelines|rules|instructions)\b[^.!?]{0,30}\b(?:not\s+(?:let|allow|permit)|n['’]t\s+(?:let|allow|permit)|forbids?|prohibits?|prevents?)\b|\bagainst\s+(?:my|our)\s+(?:guidelines|policy|policies|rules|principles)
-    |\bnot\s+(?:something|possible)\s+(?:for\s+me|i['’]?\s*(?:m|am|can))|\boutside\s+(?:of\s+)?what\s+i\s+(?:may|can)|\bas\s+an?\s+(?:ai|language|artificial)\b|\bno\s+review\s+of\b[^.]*\bwill\s+be\s+given
-    |\b(?:sorry|apologies|unfortunately|regret)\b[^.!?]{0,60}\b(?:i|my|me|we)\b[^.!?]{0,60}\b(?:can(?:no|['’])t|cannot|unable|not|decline|outside)\b
-    |\bkann\s+ich\b[^.!?]{0,50}\bnicht\b|\bich\s+kann\b[^.!?]{0,50}\bnicht\b[^.!?]{0,40}\b(?:helfen|pr[üu]fen|beurteilen|bewerten|antworten|beantworten|dienen)|\bmuss\s+ich\b[^.!?]{0,30}\bablehnen|\bich\s+(?:muss|m[öo]chte)\b[^.!?]{0,60}\b(?:ablehnen|nicht)|\bmeinen\s+richtlinien|\bdarf\s+ich\b[^.!?]{0,30}\bnicht|\bich\s+darf\b[^.!?]{0,40}\bnicht|\bals\s+ki\b|\bich\s+lehne\b|\bbin\s+(?:ich\s+)?nicht\s+(?:in\s+der\s+lage|befugt)
-    |\bno\s+puedo\b|\bdebo\s+rechazar|\bmis\s+(?:normas|pol[íi]ticas|directrices)|\bno\s+me\s+es\s+posible|\bno\s+me\s+est[áa]\s+permitido|\bcomo\s+(?:modelo\s+de|una?\s+ia|asistente)|\bme\s+niego|\bno\s+estoy\s+(?:autorizad|en\s+condiciones)|\blo\s+siento
-    |\bje\s+(?:ne\s+(?:peux|puis|pourrai|suis)|refuse|d[ée]cline|dois\s+(?:refuser|d[ée]cliner))\b|\bd[ée]sol[ée]|\bil\s+m['’]est\s+impossible|\ben\s+tant\s+qu['’]ia\b|\bmes\s+(?:r[èe]gles|consignes|directives)
-    |\b(?:non\s+(?:posso|mi\s+[èe]\s+(?:possibile|permesso|consentito)|sono\s+in\s+grado)|devo\s+(?:rifiutare|declinare)|mi\s+rifiuto|mi\s+dispiace|sono\s+spiacente)\b|\ble\s+mie\s+(?:regole|linee\s+guida)
-    |\b(?:n[ãa]o\s+(?:posso|consigo|me\s+[ée]\s+(?:poss[íi]vel|permitido)|estou\s+autorizad[oa])|devo\s+recusar|recuso-me|lamento|sinto\s+muito|desculpe)\b|\bminhas\s+(?:regras|pol[íi]ticas|diretrizes)
-    |(?:抱歉|很遗憾|遗憾的是|对不起|作为[^。]{0,10}(?:人工智能|语言模型|AI))[^。]{0,40}(?:不能|无法|拒绝|不便)|我(?:不能|无法|不会|不便|拒绝)|(?:不符合|违反)[^。]{0,12}(?:规范|政策|准则|规定)|无法(?:协助|提供帮助)""",
-    re.I | re.X,
-)
-#: What a reviewer may be unable to do without refusing: to see or name a defect.
-_PERCEIVES = re.compile(
-    r"""[^.!?。]{0,25}?(?:\b(?:see|find|spot|detect|identify|point\s+to|name|think\s+of|notice|locate|discover|fault)\s+(?:any|a|an|anything|one|no|another|further|serious|obvious|much)\b|\b(?:finden|sehen|erkennen|entdecken|feststellen|ausmachen)\b
-    |\b(?:ver|encontrar|hallar|detectar|se[ñn]alar|identificar|vedere|trovare|rilevare|voir|trouver|d[ée]tecter|encontrar|achar)\s+(?:ning|alg|un|aucun|nessun|nenhum|defe|d[ée]fa|err|fall)|发现|找到|看到|看出|检测到)""",
-    re.I | re.X,
-)
-_HELP = r"help|assist|comply|review|audit|analy[sz]e|evaluate|assess|request|task|discuss|opinion|answer|respond|policy|guidelines?|permitted|allowed|remit|engage|helfen|prüfen|anfrage|richtlinien|ayudar|revisar|petición|solicitud|normas|aider|examiner|demande|règles|aiutare|esaminare|richiesta|ajudar|analisar|pedido"
-_NOT = r"not|no|cannot|\w+n['’]t|never|unable|refus\w+|declin\w+|forbid\w*|prohibit\w*|beyond|outside|against|nicht|kein\w*|ablehnen|imposible|rechaz\w+|pas|impossible|refuser|non|rifiut\w+|impossibile|n[ãa]o|recus\w+|imposs[íi]vel"
-#: Words of declining, which count only for a template; and words that only a review has.
-_DECLINES = re.compile(rf"\b(?:{_NOT})\b[^.!?]{{0,60}}\b(?:{_HELP})\b|\b(?:{_HELP})\b[^.!?]{{0,60}}\b(?:{_NOT})\b|(?:不|无法|拒绝)[^。]{{0,20}}(?:审查|回答|协助|帮助|请求|处理|评审)", re.I)
-_REVIEWS = re.compile(r"\b(?:defects?|issues?|findings?|found|bugs?|problems?|risks?|errors?|flaws?|fehler|m[äa]ngel|befunde?|gefunden|defectos?|errores|hallazgos?|fallos?|riesgos?|d[ée]fauts?|erreurs?|difett[oi]|error[ei]|defeitos?|erros?|problem\w*)\b|缺陷|问题|风险|漏洞|错误", re.I)
-#: Distinct requests under which a template that only speaks of declining is a refusal.
-RECURS = 3
+#: Distinct requests under which an opening is a template; shares of plain prose among its answers from which it is a refusal, and
+#: below which it is sound.
+RECURS, REFUSES, SOUND = 3, 0.3, 0.1
+#: Counters of runs of words, passes over the openings, and the mean weight of the runs from which an opening is a refusal.
+RUNS, PASSES, SPEAKS = 1 << 20, 3, 0.8
 #: Common words that tell a language (fixed values).
 _STOPWORDS = {
     "en": "the of and is in to that with was are not for be has have by an this it its on at as but which from were been can may should does do more than only before after every you your please where what how no",
@@ -86,16 +67,6 @@ _QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|«[^»]*»|「[^」]*」
 _LABEL = re.compile(r"^\s*[\"'“]?(?:(?:you\s+(?:asked|wrote|said)|request|summary|question|prompt|task|answer|re|anfrage|frage|solicitud|pregunta|petici[óo]n|请求|问题|摘要)\s*[:：]\s*)+", re.I)
 
 
-def refuses(prose: str) -> bool:
-    """Whether the wording alone is a refusal."""
-    return any(not _PERCEIVES.match(prose, m.end()) for m in _REFUSES.finditer(prose))
-
-
-def declines(prose: str) -> bool:
-    """Whether the wording may be a refusal, if it recurs."""
-    return not _REVIEWS.search(prose) and bool(_DECLINES.search(prose))
-
-
 def attempts(log: str) -> list[tuple[int, str, str, str | None]]:
     """(number, request, outcome, raw response) of each attempt that ended."""
     out, request = [], ""
@@ -209,7 +180,7 @@ def check(request: str, summary: str | None, findings: int, raw: str | None) ->
     if copied(request, bare):
         return "copied", prose, False
     asked, given = language(request), language(bare)
-    if asked and given and asked != given and not refuses(bare):
+    if asked and given and asked != given:
         return "language", prose, False
     return None, prose, True
 
@@ -230,7 +201,7 @@ def _opening(prose: str) -> str:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["task_id", "attempt", "defect", "opening", "refuses", "declines", "prose", "request", "said", "tail"]
+    names = ["task_id", "attempt", "defect", "opening", "bare", "found", "prose", "request", "said", "tail"]
     kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())
     for b in batches:
         rows = []
@@ -239,7 +210,8 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             said = endings.plain(prose) if rest else None
             tail = endings.last_sentence(prose) if rest and said is None else None
             looked = rest or defect == "language"
-            rows.append((task, n, defect, _opening(prose) if looked else None, bool(rest and refuses(prose)), bool(looked and not findings and declines(prose)), prose if rest else None, _hash(request or ""), said, tail))
+            bare = bool(looked and raw is not None and unwrap(raw)[1] is None)
+            rows.append((task, n, defect, _opening(prose) if looked else None, bare, bool(raw is None and findings), prose if rest else None, _hash(request or ""), said, tail))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -314,6 +286,87 @@ def templates(openings: DataFrame) -> DataFrame:
     return openings.select("opening").join(star, "opening", "left").withColumn("leader", F.coalesce("leader", "opening"))
 
 
+def runs(opening: str) -> np.ndarray:
+    """The counters of the different runs of two and three words of an opening."""
+    import xxhash
+
+    ws = opening.split()
+    return np.asarray(sorted({xxhash.xxh64_intdigest(" ".join(ws[i : i + k])) % RUNS for k in (2, 3) for i in range(len(ws) - k + 1)}), np.int64)
+
+
+def _speaks(r: np.ndarray, weights: np.ndarray | None) -> bool:
+    return weights is not None and len(r) > 0 and float(weights[r].mean()) >= SPEAKS
+
+
+def _tally(weights):
+    """What the openings of a task add to each counter: requests under which refusals and sound answers have the run; -1 counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value if weights is not None else None
+        told, sound = np.zeros(RUNS + 1, np.int64), np.zeros(RUNS + 1, np.int64)
+        for b in batches:
+            for o, refusal, good, n in zip(*(b.column(c).to_pylist() for c in ("opening", "refusal", "sound", "requests")), strict=True):
+                r = runs(o)
+                if refusal or _speaks(r, w):
+                    told[r] += n
+                    told[-1] += n
+                elif good:
+                    sound[r] += n
+                    sound[-1] += n
+        at = np.flatnonzero((told > 0) | (sound > 0))
+        yield pa.record_batch({"run": pa.array(np.where(at == RUNS, -1, at)), "told": pa.array(told[at]), "sound": pa.array(sound[at])})
+
+    return run
+
+
+def wording(openings: DataFrame) -> np.ndarray:
+    """Weights of RUNS runs of words (8 MB whatever the number of openings) from openings(opening, refusal, sound, requests).
+
+    A weight is the log of how much more often a run recurs in refusals than in sound answers.  Each pass also learns from the
+    openings that the pass before took for refusals.
+    """
+    context, weights, sent = openings.sparkSession.sparkContext, np.zeros(RUNS), None
+    for _ in range(PASSES):
+        rows = openings.mapInArrow(_tally(sent), "run long, told long, sound long").groupBy("run").agg(F.sum("told").alias("told"), F.sum("sound").alias("sound")).toArrow()
+        run, told, sound = (np.asarray(rows.column(c), np.int64) for c in ("run", "told", "sound"))
+        whole = run < 0
+        if sent is not None:
+            sent.destroy()
+        all_told, all_sound = int(told[whole].sum()), int(sound[whole].sum())
+        weights = np.zeros(RUNS)
+        if all_told:
+            weights[run[~whole]] = np.log((told[~whole] + 0.1) / (all_told + 1)) - np.log((sound[~whole] + 0.1) / (all_sound + 1))
+        sent = context.broadcast(weights)
+    return weights
+
+
+def _judged(weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            speaks = [bool(refusal) or _speaks(runs(o), weights.value) for o, refusal in zip(b.column("opening").to_pylist(), b.column("refusal").to_pylist(), strict=True)]
+            yield pa.record_batch({"opening": b.column("opening").filter(pa.array(speaks, pa.bool_()))})
+
+    return run
+
+
+def refusals(answers: DataFrame) -> DataFrame:
+    """(opening) of all refusals among answers(opening, request, bare, found), one row an answer.
+
+    `bare`: plain prose came where an object was asked for; `found`: the answer has findings.  Where no template recurs under
+    RECURS requests nothing is known, and nothing is a refusal.
+    """
+    forms = reliable(answers.groupBy("opening", "request").agg(F.count("*").alias("n"), F.count_if("bare").alias("bare"), F.count_if("found").alias("found")))
+    grouped = reliable(templates(forms.select("opening").distinct()))
+    verdict = forms.join(grouped, "opening").groupBy("leader").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.countDistinct("request").alias("requests")).where(F.col("requests") >= RECURS)
+    kinds = verdict.select("leader", (F.col("bare") >= REFUSES * F.col("n")).alias("refusal"), (F.col("bare") < SOUND * F.col("n")).alias("whole"))
+    each = forms.groupBy("opening").agg(F.count("*").alias("requests"), F.sum("bare").alias("bare"), F.sum("found").alias("found"))
+    of = each.join(grouped, "opening").join(kinds, "leader", "left")
+    sound = F.coalesce("whole", F.lit(False)) | (F.col("bare") == 0) & (F.col("found") > 0)
+    openings = reliable(of.select("opening", F.coalesce("refusal", F.lit(False)).alias("refusal"), sound.alias("sound"), "requests"))
+    weights = answers.sparkSession.sparkContext.broadcast(wording(openings))
+    return openings.mapInArrow(_judged(weights), "opening string")
+
+
 def broken(tasks: DataFrame, reports: DataFrame) -> DataFrame:
     """(task_id, attempt, defect) for every attempt with an answer; defect is null where the pair is sound.
 
@@ -324,19 +377,14 @@ def broken(tasks: DataFrame, reports: DataFrame) -> DataFrame:
     tried = logs.mapInArrow(_pairs, "task_id string, attempt int, request string, raw string, succeeded boolean").dropDuplicates(["task_id", "attempt"])
     answers = reports.select("task_id", F.coalesce("result_json.summary", "summary").alias("summary"), F.coalesce(F.size("result_json.findings"), F.lit(0)).alias("findings")).dropDuplicates(["task_id"])
     both = tried.join(answers, "task_id", "left").where("NOT succeeded OR findings IS NOT NULL")
-    checked = reliable(both.select("task_id", "attempt", "request", "raw", "summary", "findings").mapInArrow(_checked, "task_id string, attempt int, defect string, opening string, refuses boolean, declines boolean, prose string, request long, said string, tail string"))
+    checked = reliable(both.select("task_id", "attempt", "request", "raw", "summary", "findings").mapInArrow(_checked, "task_id string, attempt int, defect string, opening string, bare boolean, found boolean, prose string, request long, said string, tail string"))
     rest = checked.where("opening IS NOT NULL")
-    forms = reliable(rest.groupBy("opening", "request").agg(F.count("*").alias("n"), F.count_if("refuses").alias("refusing"), F.count_if("declines").alias("declining")))
-    grouped = reliable(templates(forms.select("opening").distinct()))
-    verdict = forms.join(grouped, "opening").groupBy("leader").agg(F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.sum("declining").alias("declining"), F.countDistinct("request").alias("requests"))
-    # a template met under one request only stands by its own words
-    recurring = verdict.where((F.col("refusing") * 2 >= F.col("n")) & (F.col("requests") > 1) | (F.col("declining") * 2 > F.col("n")) & (F.col("requests") >= RECURS))
-    refusal = grouped.join(recurring.select("leader"), "leader", "left_semi").select("opening", F.lit(True).alias("template"))
+    refusal = refusals(rest.select("opening", "request", "bare", "found")).select("opening", F.lit(True).alias("refusal"))
     ref = F.concat_ws("\t", "task_id", F.col("attempt").cast("string"))
     open_ = rest.where("tail IS NOT NULL").select(ref.alias("ref"), F.col("tail").alias("text"))
     counts = endings.judge(open_, endings.learn(checked.where("prose IS NOT NULL").select(F.col("prose").alias("text"))))
     ends = rest.withColumn("ref", ref).join(counts, "ref", "left").join(refusal, "opening", "left")
     cut = F.when(F.col("said").isNotNull(), F.col("said") == "cut").otherwise(F.col("level").isNotNull() & endings.is_cut())
-    named = ends.withColumn("defect", F.when(F.coalesce("template", F.lit(False)) | F.col("refuses"), "refusal").when(F.col("defect").isNotNull(), F.col("defect")).when(cut, "truncated"))
+    named = ends.withColumn("defect", F.when(F.col("refusal"), "refusal").when(F.col("defect").isNotNull(), F.col("defect")).when(cut, "truncated"))
     return named.select("task_id", "attempt", "defect").unionByName(checked.where("opening IS NULL").select("task_id", "attempt", "defect"))
 

@@ -280,18 +280,50 @@ def test_broken_pairs(spark):
     tasks += [("t9", "n", _log((REQ, "failed: bad\nDetails:\nx\nRaw model response:\n"), (REQ, "failed: reset")), "x"), ("t9", "n", _log((REQ, "failed: bad\nDetails:\nx\nRaw model response:\n"), (REQ, "failed: reset")), "x"), ("null", "n", None, "x"), (None, "n", _log((REQ, "succeeded with 0 finding(s).")), "x"), ("alone", "n", _log((REQ, "succeeded with 0 finding(s).")), "x")]
     reports = [("r0", "t0", refusal.format("pump"), None, "x"), ("r1", "t1", "The code is in fair shape and has no bugs.", None, "x"), ("r2", "t2", "x", ("The code is in fair shape and has no bu", []), "x")]
     got = {(r.task_id, r.attempt): r.defect for r in answers.broken(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(reports, REPORTS)).collect()}
-    assert got == {("t0", 1): "refusal", ("t1", 1): None, ("t2", 1): "truncated", ("t9", 1): "empty"}
+    assert got == {("t0", 1): None, ("t1", 1): None, ("t2", 1): "truncated", ("t9", 1): "empty"}  # one answer is no template
     none = answers.broken(spark.createDataFrame([], TASKS), spark.createDataFrame([], REPORTS))
     assert none.count() == 0
 
 
 def test_refusals_by_template(spark):
+    """No wording is given: what recurs as plain prose in place of an object is a refusal, and what speaks like it too."""
     requests = [REQ.replace("labels", x) for x in ("labels", "pools", "rings", "pumps", "pages")]
-    tasks = [(f"{k}{i}", "n", _log((r, "succeeded with 0 finding(s).")), "x") for k in "ndsf" for i, r in enumerate(requests)] + [("once", "n", _log((REQ, "succeeded with 0 finding(s).")), "x")]
-    said = {"n": "Any review of this submission is declined by the provider.", "d": "I cannot see any defect in the code.", "s": "The code is in fair shape and has no bugs.", "f": "Je ne suis pas en mesure de vous aider avec cette demande."}
-    reports = [(f"{k}{i}", f"{k}{i}", t, None, "x") for k, t in said.items() for i in range(5)] + [("once", "once", "The answer is not for the weak, and the request takes two rounds.", None, "x")]
-    got = {r.task_id: r.defect for r in answers.broken(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(reports, REPORTS)).collect()}
-    assert {k: {got[f"{k}{i}"] for i in range(5)} for k in said} == {"n": {"refusal"}, "d": {None}, "s": {None}, "f": {"refusal"}} and got["once"] is None
+    refuses = {"n": "Any review of this submission is declined by the provider.", "f": "Je ne suis pas en mesure de vous aider avec cette demande."}
+    sound = {"d": "I cannot see any defect in the code.", "s": "The code is in fair shape and has no bugs.", "x": "The request takes two rounds, and the answer is stored in the table of the module."}
+    raw = "failed: no object\nDetails:\nx\nRaw model response:\n"
+    tasks = [(f"{k}{i}", "n", _log((r, raw + t)), "x") for k, t in refuses.items() for i, r in enumerate(requests)]
+    tasks += [(f"{k}{i}", "n", _log((r, "succeeded with 0 finding(s).")), "x") for k in [*sound, "m"] for i, r in enumerate(requests)]
+    tasks += [("alone", "n", _log((REQ, "succeeded with 0 finding(s).")), "x"), ("other", "n", _log((REQ, raw + "The code reads one entry too far. The loop must stop earlier.")), "x")]
+    reports = [(f"{k}{i}", f"{k}{i}", t, None, "x") for k, t in {**sound, "m": refuses["n"]}.items() for i in range(5)]
+    reports += [("alone", "alone", "Sorry: a review of this submission is declined by the provider, as before.", None, "x")]
+    df = answers.broken(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(reports, REPORTS))
+    got = {r.task_id: r.defect for r in df.collect()}
+    assert {k: {got[f"{k}{i}"] for i in range(5)} for k in [*refuses, *sound, "m"]} == {"n": {"refusal"}, "f": {"refusal"}, "d": {None}, "s": {None}, "x": {None}, "m": {"refusal"}}
+    assert got["alone"] == "refusal" and got["other"] is None
+
+
+def test_repeats_under_one_request_are_no_template(spark):
+    rows = [("the provider declines any review of this file .", 1, True, False)] * 9 + [("fine code without any bug that could be found .", k, False, False) for k in range(4)]
+    assert answers.refusals(spark.createDataFrame(rows, "opening string, request long, bare boolean, found boolean")).count() == 0
+    assert answers.refusals(spark.createDataFrame([(o, r + i, b, f) for i, (o, r, b, f) in enumerate(rows)], "opening string, request long, bare boolean, found boolean")).count() == 1
+
+
+def test_recall_of_the_clusters(spark):
+    """Against brute force over all pairs: openings that are similar enough get one leader."""
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    openings = set()
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(30)]
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rng.randint(0, 2)):
+                x[rng.choice([0, 1, 28, 29])] = rng.choice(words)
+            openings.add(" ".join(x))
+    sets = {o: answers.shingles(o) for o in openings}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(openings), 2) if len(sets[a] & sets[b]) >= answers.SIMILARITY * len(sets[a] | sets[b])]
+    leader = {r.opening: r.leader for r in answers.templates(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    assert len(pairs) > 100 and sum(leader[a] == leader[b] for a, b in pairs) >= 0.95 * len(pairs)
 
 
 def test_templates_reach_beyond_the_first_opening(spark):
