@@ -360,8 +360,7 @@ def pairs(members: DataFrame, links: DataFrame, part: int = PART) -> DataFrame:
 
 
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(file_id, class_key, copies, links): one row a text, with the texts of its class and the number of similar classes."""
+    """(file_id, class_id, copies, links): one row a text, with its class (its least id), the texts of the class, and the number of similar classes."""
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("copies"))
-    out = members.join(sizes, "key").join(ends, "key", "left")
-    return out.select(F.col("id").alias("file_id"), F.hex("key").alias("class_key"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("class_id")).join(ends, "key", "left")
+    return members.join(sizes, "key").select(F.col("id").alias("file_id"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -59,7 +59,7 @@ def test_neardup_is_exact(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 2)
     assert {tuple(r) for r in neardup.pairs(*neardup.similar(_files(spark, rows))).collect()} == got
     classes = {r.file_id: r for r in neardup.classes(members, links).collect()}
-    assert classes["dup"].class_key == classes["00-0"].class_key and classes["dup"].copies >= 2 and "short" not in classes
+    assert classes["dup"].class_id == classes["00-0"].class_id == "00-0" and classes["dup"].copies >= 2 and "short" not in classes
 
 
 def test_hot_boxes_are_split():
@@ -585,9 +585,38 @@ def test_offensive(spark):
 # all
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_queries_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+#: Each query with the columns that no two rows share.
+KEYS = {
+    "p1_found": "id_a id_b", "p1_classes": "file_id", "p2_found": "file_id", "p2_checked": "file_id", "p2_rates": "repository language", "p3_found": "task_id attempt", "p3_attempts": "task_id attempt",
+    "p4_found": "record_id field finding_no", "p4_rates": "model_node_id field", "p4_hazards": "field source length", "p5_found": "file_id line_no", "p5_redacted": "file_id", "p6_ids": "doc_id", "p6_decoded": "doc_id",
+    "p7_found": "doc_id item_id", "p7_runs": "doc_id item_id", "p7_clean": "doc_id", "p7_items": "item_id", "p8_found": "doc_id", "p8_scores": "doc_id", "p8_rates": "source",
+}
+
+
+@pytest.mark.parametrize("name", sorted(KEYS))
+def test_rows_come_once(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).select(*KEYS[name].split()).collect()
+    assert set(KEYS) == set(QUERIES) and len(rows) == len(set(rows)) and (rows or name in ("p7_found", "p7_runs", "p8_found"))
+
+
+def test_rates_follow_from_their_rows(spark, sf_dir):
+    checked = QUERIES["p2_checked"](spark, sf_dir).collect()
+    for r in QUERIES["p2_rates"](spark, sf_dir).collect():
+        mine = [c for c in checked if (c.repository, c.language) == (r.repository, r.language)]
+        assert (r.files, r.invalid) == (len(mine), sum(c.valid is False for c in mine)) and abs(r.share - r.invalid / r.files) < 1e-12
+    node = {r.id: r.model_node_id for r in spark.read.parquet(f"{sf_dir}/review_tasks.parquet").collect()}
+    task = {r.id: r.task_id for r in spark.read.parquet(f"{sf_dir}/reports.parquet").collect()}
+    cut = {}
+    for r in QUERIES["p4_found"](spark, sf_dir).collect():
+        k = node[r.record_id if r.field == "model_log" else task[r.record_id]], r.field
+        cut[k] = cut.get(k, 0) + 1
+    rates = {(r.model_node_id, r.field): r.cut for r in QUERIES["p4_rates"](spark, sf_dir).collect()}
+    assert {k: n for k, n in rates.items() if n} == cut
+    found = {r.doc_id for r in QUERIES["p8_found"](spark, sf_dir).collect()}
+    scores = QUERIES["p8_scores"](spark, sf_dir).collect()
+    for r in QUERIES["p8_rates"](spark, sf_dir).collect():
+        assert (r.documents, r.offending) == (sum(s.source == r.source for s in scores), sum(s.source == r.source and s.doc_id in found for s in scores))
+    assert sum(r.documents for r in QUERIES["p7_items"](spark, sf_dir).collect()) == QUERIES["p7_found"](spark, sf_dir).count()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
