@@ -41,8 +41,9 @@ _COMPARES = "strcmp strncmp strcasecmp memcmp equals compare_digest".split()
 _LOGINS = "connect login logon authenticate auth set_?credentials signin sign_in open_session basic_auth".split()
 _ACCOUNTS = ["login", "log in", "user(?:name)?", "account", "anmeldung", "acceso", "usuario"]
 _WORDS = "|".join(dict.fromkeys([*_SURE, "api", "auth", "contrase", "密码", "口令", "private key", *_PREFIXES, *_COMPARES, *_LOGINS]))
-#: Read on lower-cased text: a superset of what the detectors begin with.
-_TRIGGER = re.compile(rf"{_WORDS}|(?:{'|'.join(_ACCOUNTS)})(?!\w)|keys?(?![a-z])|sig(?![a-z])|(?:signature|code)=|://[^\s:/@\"']*:|struct\b[^{{}};\n]*(?:[{{\n]|\Z)")
+#: Read on lower-cased text, together a superset of what the detectors begin with; one pattern for each kind is faster than all in one.
+_TRIGGERS = [re.compile(p) for p in (_WORDS, rf"(?:{'|'.join(_ACCOUNTS)})(?!\w)", "keys?(?![a-z])", "sig(?![a-z])", "(?:signature|code)=", r"://[^\s:/@\"']*:")]
+_STRUCTS = re.compile(r"struct\b[^{};\n]*(?:[{\n]|\Z)")
 _PLACE = re.compile(
     r"""^(?:|[%$].?|%[-+#0-9.lhzjt]*[a-z]|\$\{?\w+\}?|\$\(\w+\)|%\w+%|<[^<>]*>|\[[^\[\]]*\]|\{\{?[^{}]*\}?\}|@\w+@|__\w+__|[*xX.•_\-?#]{2,}|(?:your|my|the|some|enter|insert|put|replace|set|add)[-_ ]?.*|(?:change|fill|todo|tbd|fixme)[-_ ]?.*
     |(?:none|null|nil|true|false|yes|no|on|off|void|undefined|unset|empty|redacted|masked|hidden|removed|example|sample|dummy|test|fake|placeholder|default|secret|password|passwd|token|changeme|string|n/?a)[\d!]{0,2})$""",
@@ -189,22 +190,37 @@ def _line(text: str, at: int) -> tuple[int, int]:
 
 def find(text: str) -> list[tuple[int, int]]:
     """Start and end of the value of each credential."""
-    done, f = -1, None
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; places must stay
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for t in _TRIGGER.finditer(low):
-        if t.start() < done:
-            continue
-        a, b = _line(text, t.start())
-        done = b
-        f = f or _Finder(text)
-        _in_line(f, text, low[a:b], a, b)
-    return list(zip(f.starts, f.ends, strict=True)) if f else []
-
-
-def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
-    """Looks at one line, text[a:b]; line is the same in lower case."""
+    lines = {low.rfind("\n", 0, t.start()) + 1 for pattern in _TRIGGERS for t in pattern.finditer(low)}
+    structs = {low.rfind("\n", 0, t.start()) + 1 for t in _STRUCTS.finditer(low)}
+    if not lines and not structs:
+        return []
+    f = _Finder(text)
+    for a in sorted(lines | structs):
+        b = _line(text, a)[1]
+        struct = a in structs and _in_struct(f, text, a, b)
+        if a in lines:
+            _in_line(f, text, low[a:b], a, b, struct)
+    return list(zip(f.starts, f.ends, strict=True))
+
+
+def _in_struct(f: _Finder, text: str, a: int, b: int) -> bool:
+    """Whether a structure with its values begins on the line; its fields that hold credentials are added."""
+    struct = next((x for m in re.finditer(r"struct\b", text[a:b]) if (x := _STRUCT.match(text, a + m.start()))), None)
+    if struct is None:
+        return False
+    names = re.findall(r"[\s*](\w+)\s*(?=[,;])", struct["fields"])
+    values = [m.start() for m in _ADJACENT.finditer(text, struct.start("values"), struct.end("values"))]
+    for name, at in zip(names, values, strict=False):
+        if speaks(name):
+            f.literal(at, NEAR, True)
+    return True
+
+
+def _in_line(f: _Finder, text: str, line: str, a: int, b: int, struct: bool) -> None:
+    """Looks at one line, text[a:b]; line is the same in lower case; the members of a structure are not assignments."""
     if "private key" in line:
         blocks = 0
         for m in _PEM.finditer(text, a, b):
@@ -239,12 +255,7 @@ def _in_line(f: _Finder, text: str, line: str, a: int, b: int) -> None:
     if "x-" in line or "api-key" in line:
         _values(f, _XHEADER, text, a, b, FAR)
     quoted = '"' in line or "'" in line
-    if "struct" in line and (struct := next((x for m in re.finditer(r"struct\b", text[a:b]) if (x := _STRUCT.match(text, a + m.start()))), None)):
-        names = re.findall(r"[\s*](\w+)\s*(?=[,;])", struct["fields"])
-        values = [m.start() for m in _ADJACENT.finditer(text, struct.start("values"), struct.end("values"))]
-        for name, at in zip(names, values, strict=False):
-            if speaks(name):
-                f.literal(at, NEAR, True)
+    if struct:
         return
     # a value may stand on the next line, after any number of blanks and a cast
     for m in _ASSIGN.finditer(text, a, min(len(text), _BLANKS.match(text, b).end() + CAST)):
