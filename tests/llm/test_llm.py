@@ -201,6 +201,75 @@ def test_json(s, ok):
     assert (grammar_json.read(s) is None) == bool(ok)
 
 
+@pytest.mark.parametrize(
+    ("s", "ok"),
+    [
+        # macros are put in before a text is parsed
+        ("#define FOO 1 2\nint a = FOO;", 0), ("#define TWICE(x) x x\nint a = TWICE(3);", 0), ("#define E\nint a = E;", 0), ("#define CALL(x) x(\nvoid f(void) { CALL(g); }", 0), ("#define A 1\n#undef A\n#define A 1 +\nint x = A;", 0),
+        ("#if 0\n#define A int\n#endif\nA x y z;", 0), ("#define F(x) x\nint a = F(1;", 0), ("#define A 1 2\n#undef A\nint A;", 1), ("int a = B;\n#define B 1 2\n", 1),
+        ("#define S(x) #x\nchar *s = S(a b c);", 1), ("#define CAT(a, b) a##b\nint CAT(x, y) = CAT(1, 2);", 1), ("#define E(f, ...) printf(f, ##__VA_ARGS__)\nvoid f(void) { E(\"a\"); E(\"a\", 1, 2); }", 1),
+        ("#define X(n) E_##n,\n#define L X(a) X(b)\nenum { L };\n#undef X\n#define X(n) #n,\nchar *s[] = { L };", 1), ("#define EMPTY\n#define DEFER(id) id EMPTY\n#define O() int a\n#define EVAL(x) x\nEVAL(DEFER(O)());", 1),
+        ("#define V(x) (x)\nint a = V\n#pragma once\n(3);", 1), ("_Pragma(\"once\")\nint x; void f(void) { _Pragma(\"omp parallel\") for (;;); }", 1), ("char *f = __FILE__ __DATE__;", 1),
+        # lines that go on, trigraphs, digraphs, comments before directives, names, quotes
+        ("char *s = \"a\\\nb\"; int ab\\\nc = 1\\\n2;", 1), ("??=define A 1\nint a??(A??);", 1), ("%:define A 1\nint a = A;", 1), ("/* c\n */ #if 0\n((\n#endif\nint a;", 1), ("int a; #\nint b;", 0), ("int \\u00e9 = 1, é;", 1), ("int a“b;", 0), ("\ufeffint a;", 1),
+        ("char *s = \"a\\\";", 0), ("int a = '' 'a';", 0), ("char *s = \"\\xg\";", 0),
+        # qualifiers; names of types by blocks
+        ("_Atomic int x; int *_Atomic p; int f(int a[_Atomic 3]); _Atomic(int) y;", 1), ("typedef int T; void f(void) { int T = 1; T = T + 2; g(T * 2); } T x;", 1), ("typedef int T; void f(T T) { T = 1; }", 1), ("typedef int T; void f(void) { enum { T = 2 }; int x = T + 1; } T y;", 1),
+        ("void f(void) { typedef int x; x y; }\nint x; int g(void) { return x + 1; }", 1), ("typedef int T; void f(void) { for (int T = 0; T < 3; T++) T += 1; } T y;", 1), ("typedef int T; void f(void) { { int T; } T = 1; }", 0), ("typedef int T; int x = T + 1;", 0), ("typedef int T; int T x;", 0),
+    ],
+)
+def test_c_as_it_is_translated(s, ok):
+    for t in (s, s.replace("\n", "\r\n")):
+        assert (grammar_c.read(t) is None) == bool(ok)
+
+
+@pytest.mark.parametrize(("s", "before"), [("int a;\r\nint b = ;\r\n", "int a;\r\nint b = "), ("#if 0\nint b c;\n#endif\nint b c;", "#if 0\nint b c;\n#endif\nint b "), ("#define F 1 2\n\nint a = F;", "#define F 1 2\n\nint a = "), ("int a;\\\r\nint \\\r\n b c;", "int a;\\\r\nint \\\r\n b ")])
+def test_c_place(s, before):
+    assert grammar_c.read(s) == len(before)
+
+
+def test_c_long_line():
+    """A line took time by the square of its length where a quote did not end."""
+    assert grammar_c.read('"' + '\\"' * 300_000) == 0
+
+
+PYTHON = r"""f"{a b}"|f"{}"|f"{a!x}"|f"{a!r}"|f"{a = !r:>{w}}"|f"{a:{b c}}"|f"{lambda x: 1}"|f"{lambda x:{1}}"|f"{(lambda x: 1)}"|f"{a:=5}"|f"{yield}"|f"{*a, b}"|f"{**a}"|f"{a +}"|f"}"|f"{{}}"|f"{f"{1}"}"|f"{a!=b}"|f"{!r}"|f"{a!}"|f"{a if b}"|f"{x for x in y}"|f"{a:}}"|f"{a}}"|rf"\{a}"|f"\{a}"|rf"\""|f"\N{DASH}"|f"\N{EN DASH}"|f"\x"|f"{print(1);2}"|f"{a[1:2]}{b["c"]:%Y-%m}"|f'''{
+a # c
+}'''|b"é"|"a" b"c"|b"a" b"c"|"\x"|"\u12"|"\u1234"|"\U00110000"|"\N{foo}"|r"\x"|b"\x"|b"\u12"|a² = 1|℘ = 1|x = 1if y else 2|x = 0xfor x in y|1or 2|match x:
+  case 1 + 2: pass|match x:
+  case -1 - 2j: pass|match x:
+  case {a: 1}: pass|match x:
+  case {a.b: 1, **r}: pass|match x:
+  case {**r, 1: 2}: pass|match x:
+  case A(b=1, c): pass|match x:
+  case *a: pass|match x:
+  case (*a): pass|match x:
+  case *a, b: pass|match x:
+  case a as _: pass|with a as *b: pass|(*a)|(*a,)|class A(x for x in y): pass|f(x for x in y)|f(x for x in y,)|def f(a, /, b, /): pass|lambda a, /, b=1, *c: a|{**a for b in c}|[*a for b in c]|def f[*T: int](): pass|def f[*T=*a](): pass|a\
+|from import a|from . import a| \
+ + b|if a:
+\
+  b"""
+
+
+@pytest.mark.filterwarnings("ignore::SyntaxWarning", "ignore::DeprecationWarning")
+@pytest.mark.parametrize("s", PYTHON.split("|"))
+def test_python_as_the_interpreter_reads_it(s):
+    import ast
+
+    try:
+        ast.parse(s)
+        ok = True
+    except SyntaxError:
+        ok = False
+    assert (grammar_py.read(s) is None) == ok
+
+
+def test_broken_macros_and_fields_come_out(spark):
+    rows = [("a", "r/a.c", "#define FOO 1 2\nint a = FOO;\n"), ("b", "r/b.py", "x = f\"{a b}\"\n"), ("c", "r/c.py", "x = f\"{a!r:>{w}}\"\n"), ("d", "r/d.h", "char *s = \"a\\\nb\";\n"), ("e", "r/e.ini", "x = f\"{a b}\"\n")]
+    assert {r.file_id for r in syntax.broken_files(_files(spark, rows)).collect()} == {"a", "b"}
+
+
 def test_packrat_is_linear():
     g = Grammar("e <- t '+' e / t '-' e / t\nt <- '(' e ')' / N", "e")
     deep = g.kind("(") * 60 + g.kind("N") + g.kind(")") * 60
